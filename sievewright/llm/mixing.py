@@ -92,15 +92,21 @@ def plan_budgets(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[fl
 
 
 def _fill(pdf):
-    """The bucket in which a leaf's budget ends (about BUCKET_DOCS documents): documents in seeded
-    order, each taken if it still fits or misses by less than half of it, so that one long document
-    does not end the prefix early and the leaf ends as near to its budget as it can."""
-    pdf = pdf.sort_values(["_h", "doc_id"])
-    left = pdf["rest"].iloc[0] - pdf["_before"].iloc[0]
-    more = []
-    for n in pdf["n_tokens"]:
-        more.append(int(n <= 2 * left))
-        left -= n * more[-1]
+    """The buckets in which the budgets of one source's leaves end (languages times about BUCKET_DOCS
+    documents): in seeded order, each document taken that still fits its leaf; what the leaves leave
+    over is pooled, and each further document taken that fits the pool."""
+    pdf = pdf.sort_values(["lang", "_h", "doc_id"]).reset_index(drop=True)
+    more, pool = [0] * len(pdf), 0.0
+    for _, leaf in pdf.groupby("lang", sort=False):
+        left = leaf["rest"].iloc[0] - leaf["_before"].iloc[0]
+        for i, n in zip(leaf.index, leaf["n_tokens"]):
+            if n <= left:
+                more[i], left = 1, left - n
+        pool += left
+    for i in pdf.sort_values(["_h", "doc_id"]).index:
+        n = pdf.at[i, "n_tokens"]
+        if not more[i] and n <= pool:
+            more[i], pool = 1, pool - n
     return pdf.assign(_more=more)
 
 
@@ -144,7 +150,7 @@ class Mix:
         full = F.col("_before") + F.col("_in") <= F.col("rest")
         edge = ~full & (F.col("_before") < F.col("rest"))
         kinds = ", ".join(f"{n} {t}" for n, t in d.dtypes)
-        cut = d.where(edge).groupBy(*leaf, "_bucket").applyInPandas(_fill, f"{kinds}, _more int")
+        cut = d.where(edge).groupBy("source").applyInPandas(_fill, f"{kinds}, _more int")
         rest = d.where(~edge).withColumn("_more", full.cast("int"))
         used = rest.unionByName(cut).withColumn("n_uses", F.col("epochs") + F.col("_more"))
         return used.where("n_uses > 0").select("doc_id", "source", "lang", "n_tokens", "n_uses")

@@ -18,11 +18,13 @@ from collections import Counter
 import zstandard
 
 #: Codecs a page may have been read in, and codecs it may have been written in.
-READ = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "iso8859_15", "iso8859_5", "cp1254", "iso8859_7", "cp1253"]
-WRITTEN = ["cp1252", "iso8859_2", "cp1250", "cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "cp437", "iso8859_5"]
+READ = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "iso8859_5"]
+WRITTEN = ["cp1252", "iso8859_2", "cp1250", "cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "cp437"]
 #: Cost in bytes of one step of a chain, by what it claims.
 UTF8_COST, SINGLE_COST = 1, 2
 UTF8_CHANCE = 0.5
+#: A single-byte step holds for all tokens; one that it cannot explain has to be said apart.
+EXCEPT_COST = 2
 #: Steps of a chain, candidates compressed per step, tokens a dictionary holds, its bytes.
 DEPTH, BEAM, DICT_TOKENS, DICT_BYTES = 3, 6, 6000, 1 << 16
 LEVEL = 9
@@ -31,7 +33,8 @@ INNER = "ÃÂâäåÅÄãÐÑðñŠšŽžŸÿƒˆ˜"
 #: A token on this share of a language's pages is sound.
 COMMON = 0.06
 
-_TOKEN = re.compile(r"[^ \t\n\r\x00-\x08]*[^\x00-\x7f][^ \t\n\r]*")
+_BLANKS = str.maketrans("\t\n\r", "   ")
+_INSIDE = re.compile(r"[^\W\d_][“”„«»—–…°•][^\W\d_]|^[”»…][^\W\d_]|[“„«]$|[“”„]{2}")
 _ENTITY = re.compile(r"&(?:#\d{2,6}|#[xX][0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d{0,2});")
 _ASCII_EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SOFT_EDGE = _ASCII_EDGE + "“”„«»‘’‹›…–—¿¡"
@@ -55,11 +58,20 @@ def _to_bytes(codec: str) -> dict:
 
 
 class _Table(dict):
+    """A translate() table that holds all it was asked for."""
+
+    def __init__(self, items=()):
+        super().__init__(enumerate(range(128)))
+        self.update(items)
+
     def __missing__(self, key):
-        return 0xFFFF if key > 127 else key
+        self[key] = 0xFFFF
+        return 0xFFFF
 
 
 _BYTES = {c: _Table(_to_bytes(c)) for c in READ}
+#: Characters beyond ASCII that each codec can have been read as.
+_SHOWN = {c: frozenset(chr(k) for k, b in t.items() if k > 127 and b != 0xFFFF) for c, t in _BYTES.items()}
 
 
 def _pairs() -> dict[tuple[str, str], _Table]:
@@ -80,6 +92,8 @@ def _pairs() -> dict[tuple[str, str], _Table]:
 
 _PAIRS = _pairs()
 CHAINS = [(w, "utf_8") for w in READ] + list(_PAIRS)
+#: Steps to try, and whether a step is repeated while it can be.
+_TRIALS = [(s, deep) for s in CHAINS[: len(READ)] for deep in (False, True)] + [(s, False) for s in CHAINS[len(READ) :]]
 
 
 def undo(token: str, step: tuple[str, str]) -> str | None:
@@ -103,17 +117,42 @@ def decode_entities(text: str) -> str:
     return _ENTITY.sub(lambda m: html.unescape(m.group()), text) if "&" in text else text
 
 
-def tokens(text: str) -> list[str]:
-    """Tokens with a character beyond ASCII, without punctuation at their edges."""
-    out = []
-    for t in _TOKEN.findall(text):
-        s = t.strip(_ASCII_EDGE)
-        e = s.strip(_SOFT_EDGE)
-        # quotes and dashes are edges only of what is otherwise a word
-        s = e if e and (e[0].isalnum() and e[-1].isalnum()) else s
-        if not s.isascii():
-            out.append(s)
-    return out
+def words(text: str) -> set[str]:
+    """What stands between blanks and has a character beyond ASCII.  Blanks are the ASCII ones only:
+    others may be bytes of a garbled character."""
+    if "\n" in text or "\t" in text or "\r" in text:
+        text = text.translate(_BLANKS) if "\t" in text or "\r" in text else text.replace("\n", " ")
+    return {t for t in set(text.split(" ")) if not t.isascii()}
+
+
+def token(word: str) -> str:
+    """The word without punctuation at its edges; quotes and dashes are edges only of what is
+    otherwise a word."""
+    s = word.strip(_ASCII_EDGE)
+    e = s.strip(_SOFT_EDGE)
+    return e if e and e[0].isalnum() and e[-1].isalnum() else s
+
+
+def tokens(text: str) -> set[str]:
+    """The tokens of a text that have a character beyond ASCII."""
+    return {s for t in words(text) if not (s := token(t)).isascii()}
+
+
+class _Sound(dict):
+    """character -> 2 sound, 1 a C1 control, 0 a control or a letter of no known language."""
+
+    def __init__(self, letters: set[str]):
+        self.letters = letters
+
+    def __missing__(self, c: str) -> int:
+        if c == "\uffff" or c < " ":
+            v = 0
+        elif "\x80" <= c < "\xa0":
+            v = 1
+        else:
+            v = 2 if c < "\x7f" or c in self.letters or not c.isalpha() else 0
+        self[c] = v
+        return v
 
 
 class CharsetModel:
@@ -124,7 +163,7 @@ class CharsetModel:
 
     def _ready(self):
         self.known = {t for ts in self.by_lang.values() for t in ts}
-        self.letters = {c for t in self.known for c in t + t.upper()} | set(INNER)
+        self.sound = _Sound({c for t in self.known for c in t + t.upper()} | set(INNER))
         self.coders, self.primer = {}, {}
         for lang, ts in sorted(self.by_lang.items()):
             content = (" " + " ".join(reversed(ts)) + " ").translate(_SHORT).encode("utf-8")[-DICT_BYTES:]
@@ -135,6 +174,7 @@ class CharsetModel:
             self.primer[lang] = " " + " ".join(ts[len(ts) // 3 :: max(1, len(ts) // 24)][:12]).translate(_SHORT) + " "
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self.floors: dict[str, int] = {}
+        self.doubt: dict[str, str] = {}
         self.seen: dict[tuple, tuple] = {}
 
     def __getstate__(self):
@@ -155,35 +195,51 @@ class CharsetModel:
         return self.floors[lang]
 
     def _possible(self, u: str) -> bool:
-        """No control characters (those of an inner step of a chain aside) and no letters that no
-        language of the dictionaries has."""
-        for c in u:
-            if c > "\x7f" and c not in self.letters and (c.isalpha() or "\x80" <= c < "\xa0" and "â" not in u and "Â" not in u and "Ã" not in u):
-                return False
-        return not any(c < " " for c in u)
-
-    def _candidates(self, ts: list[str]) -> list[tuple[int, tuple, list[str]]]:
+        """No control characters (those of an inner step of a chain aside), no letters that no language
+        of the dictionaries has, and no quotes or dashes between letters."""
+        worst = min(map(self.sound.__getitem__, u), default=2)
+        if worst < 2 and (worst == 0 or not ("â" in u or "Â" in u or "Ã" in u)):
+            return False
+        return not _INSIDE.search(u)
+
+    def _candidates(self, ts: list[str]) -> list[tuple[float, tuple, list[str]]]:
+        """The most promising decodings of the tokens: (cost, step, tokens)."""
+        # tokens of a dictionary are no evidence against themselves and stay
+        open_ = [i for i, t in enumerate(ts) if t.lower() not in self.known]
+        joined = "\n".join(ts[i] for i in open_)
+        # a page was read in one codec: one that shows at least half of its odd characters
+        odd = {c for c in joined if c > "\x7f"}
+        readable = {w: 2 * len(odd & shown) >= len(odd) for w, shown in _SHOWN.items()}
         found = []
-        for step, deep in [(s, False) for s in CHAINS] + [(s, True) for s in CHAINS[: len(READ)]]:
-            new, hits, changed = [], 0, 0
-            for t in ts:
-                # tokens of a dictionary are no evidence against themselves and stay
-                u = None if t.lower() in self.known else undo(t, step)
-                for _ in range((DEPTH - 1) * deep):
-                    u = (u and undo(u, step)) or u
-                if u is not None and not self._possible(u):
-                    u = None
-                if u is None:
-                    new.append(t)
-                else:
-                    changed += 1
-                    e = u.strip(_SOFT_EDGE)
-                    hits += e.lower() in self.known or e.isascii() or not any(ch.isalpha() for ch in e)
-                    new.append(u)
+        for step, deep in _TRIALS:
+            if not readable[step[0]]:
+                continue
+            if step[1] == "utf_8":
+                undone = []
+                for i in open_:
+                    u = undo(ts[i], step)
+                    for _ in range((DEPTH - 1) * deep):
+                        u = (u and undo(u, step)) or u
+                    undone.append(u)
+            else:
+                undone = joined.translate(_PAIRS[step]).split("\n")
+            new, hits, changed, bad = list(ts), 0, 0, 0
+            for i, u in zip(open_, undone):
+                if u is None or u == ts[i]:
+                    continue
+                if not self._possible(u):
+                    bad += 1
+                    continue
+                new[i] = u
+                changed += 1
+                e = u.strip(_SOFT_EDGE)
+                hits += e.lower() in self.known or e.isascii() or not any(map(str.isalpha, e))
             if changed and (hits or step[1] == "utf_8"):
                 # that so many sequences are well-formed UTF-8 by chance would take bits to say
-                cost = UTF8_COST * (1 + deep) - UTF8_CHANCE * changed if step[1] == "utf_8" else SINGLE_COST
+                cost = UTF8_COST * (1 + deep) - UTF8_CHANCE * changed if step[1] == "utf_8" else SINGLE_COST + EXCEPT_COST * bad
                 found.append((-hits, cost, step, new))
+                if hits == len(open_):
+                    break  # all explained; no later trial can do better
         found.sort(key=lambda x: x[:2])
         return [(cost, s, n) for _, cost, s, n in found[:BEAM]]
 
@@ -196,7 +252,7 @@ class CharsetModel:
         origin = list(best)
         chain: tuple = ()
         for _ in range(DEPTH):
-            if not best:
+            if all(t.lower() in self.known for t in best):
                 break
             base = self.length(best)
             scored = [(self.length(n) + cost, i, s, n) for i, (cost, s, n) in enumerate(self._candidates(best))]
@@ -218,9 +274,20 @@ class CharsetModel:
             return False, text
         plain = decode_entities(text)
         known = self.known
-        suspects = sorted({t for t in tokens(plain) if t.lower() not in known})
+        suspects = set()
+        for w in words(plain):
+            t = self.doubt.get(w)
+            if t is None:
+                t = token(w)
+                t = "" if t.isascii() or t.lower() in known else t
+                if len(self.doubt) > 300_000:
+                    self.doubt.clear()
+                self.doubt[w] = t
+            if t:
+                suspects.add(t)
         if not suspects:
             return False, text
+        suspects = sorted(suspects)
         # a sequence quoted on its own is mentioned, not garbled
         quoted = {m.strip(_SOFT_EDGE) or m for m in _QUOTED.findall(plain)}
         if quoted:
@@ -243,7 +310,7 @@ def fit(pages: list[tuple[str, str]]) -> CharsetModel:
     written: dict[str, str] = {}
     for lang, text in pages:
         ts = set()
-        for t in tokens(text) if not text.isascii() else []:
+        for t in sorted(tokens(text)) if not text.isascii() else []:
             ts.add(low := t.lower())
             written.setdefault(low, t)
         count.update(ts)

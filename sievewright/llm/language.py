@@ -16,7 +16,11 @@ from collections import Counter
 import numpy as np
 
 #: Characters of labelled text per language in the automaton; longest match that is told apart.
-TRAIN_CHARS, LONGEST = 22_000, 40
+TRAIN_CHARS, LONGEST = 18_000, 40
+#: Labelled sentences per language that training text is chosen from.
+TRAIN_SENTENCES = 4_000
+#: Characters that a segment advances by at once.
+PIECE = 200
 #: A segment shorter than this many letters takes the language of its neighbours.
 LEAST_LETTERS = 12
 #: Confidence from which a segment keeps its language against the page's and its neighbours'.
@@ -33,14 +37,16 @@ def plain(s: str) -> str:
 
 
 class LanguageModel:
-    """Languages and their training texts; the automaton is built where it is used."""
+    """The automaton of the languages' training texts: states and edges as built here, the complete
+    transition table as each worker expands it."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.texts = {k: texts[k] for k in sorted(texts)}
         self.langs = list(self.texts)
+        self._build()
 
     def __getstate__(self):
-        return {"texts": self.texts, "langs": self.langs}
+        return {k: getattr(self, k) for k in ("langs", "code", "link", "length", "owner", "edges")}
 
     def _build(self):
         alphabet = Counter()
@@ -97,63 +103,94 @@ class LanguageModel:
         order = sorted(range(n), key=length.__getitem__)
         for v in reversed(order[1:]):
             owner[link[v]] |= owner[v]
-        link_a, len_a = np.array(link, np.int64), np.array(length, np.int64)
-        # complete transition table: target, and the match length it leaves when a link was followed
+        self.link, self.length, self.owner = (np.array(x, np.int32) for x in (link, length, owner))
+        sizes = np.fromiter(map(len, nxt), np.int64, n)
+        self.edges = (
+            np.repeat(np.arange(n, dtype=np.int32), sizes),
+            np.fromiter((c for e in nxt for c in e), np.uint8, int(sizes.sum())),
+            np.fromiter((t for e in nxt for t in e.values()), np.int32, int(sizes.sum())),
+        )
+
+    def _expand(self):
+        link, length, owner = self.link, self.length, self.owner
+        n, n_lang, width = len(link), len(self.langs), len(self.code) + 1
+        # depth in the tree of links; parents come before children
+        level, up = np.zeros(n, np.int32), link.copy()
+        while (up >= 0).any():
+            level += up >= 0
+            up = np.where(up >= 0, link[np.maximum(up, 0)], -1)
+        by_level = np.argsort(level, kind="stable")
+        bounds = np.searchsorted(level[by_level], np.arange(level.max() + 2))
         target = np.zeros((n, width), np.int32)
         base = np.zeros((n, width), np.uint8)
-        depth: list[list[int]] = []
-        level = np.zeros(n, np.int64)
-        for v in order[1:]:
-            level[v] = level[link[v]] + 1
-        for v in order:
-            while len(depth) <= level[v]:
-                depth.append([])
-            depth[level[v]].append(v)
-        for group in depth:
-            g = np.array(group)
-            if g[0] != 0:
-                target[g], base[g] = target[link_a[g]], base[link_a[g]]
-                up = np.minimum(len_a[link_a[g]] + 1, 250).astype(np.uint8)
-                own = (base[g] == 255)
-                base[g] = np.where(own, up[:, None], base[g])
-            rows = np.repeat(g, [len(nxt[v]) for v in group])
-            cols = np.array([c for v in group for c in nxt[v]], np.int64)
-            to = np.array([t for v in group for t in nxt[v].values()], np.int64)
-            target[rows, cols], base[rows, cols] = to, 255  # 255: the match grows by one
-        # longest suffix per language: unlimited (255) where the state occurs there, else that of the link
         best = np.zeros((n, n_lang), np.uint8)
-        own = np.array(owner, np.int64)
-        for group in depth[1:]:
-            g = np.array(group)
-            for k in range(n_lang):
-                has = (own[g] >> k) & 1
-                above = best[link_a[g], k]
-                above = np.where(above == 255, np.minimum(len_a[link_a[g]], 250), above)
-                best[g, k] = np.where(has, 255, above)
+        src, char, dst = self.edges
+        e_order = np.argsort(level[src], kind="stable")
+        src, char, dst = src[e_order], char[e_order].astype(np.int64), dst[e_order]
+        e_bounds = np.searchsorted(level[src], np.arange(level.max() + 2))
+        bits = (owner[:, None] >> np.arange(n_lang)) & 1
+        for k in range(len(bounds) - 1):
+            g, e = by_level[bounds[k] : bounds[k + 1]], slice(e_bounds[k], e_bounds[k + 1])
+            if k:
+                # what the link's state does, with the match length that the link leaves
+                left = np.minimum(length[link[g]] + 1, 250).astype(np.uint8)[:, None]
+                target[g], b = target[link[g]], base[link[g]]
+                base[g] = np.where(b == 255, left, b)
+                above = best[link[g]]
+                best[g] = np.where(bits[g] > 0, 255, np.where(above == 255, left - 1, above))
+            target[src[e], char[e]], base[src[e], char[e]] = dst[e], 255  # 255: the match grows by one
         self.target, self.base, self.best, self.width = target.ravel(), base.ravel(), best, width
-        self.translate = _Codes(self.code)
+        self.codes = np.zeros(0x10000, np.uint8)
+        blank = self.code.get(" ", 0)
+        for c in range(0x10000):
+            if not chr(c).isalpha():
+                self.codes[c] = blank
+        for c, i in self.code.items():
+            if ord(c) < 0x10000:
+                self.codes[ord(c)] = i
 
     def phrases(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases per language, letters) of each segment given as plain()."""
+        """(phrases per language, letters) of each segment (without line ends)."""
         if not hasattr(self, "target"):
-            self._build()
+            self._expand()
         n, n_lang = len(segments), len(self.langs)
-        out = np.zeros((n, n_lang))
-        sizes = np.fromiter(map(len, segments), np.int64, n)
-        order = np.argsort(-sizes, kind="stable")
-        done = 0
-        while done < n:  # blocks of bounded size, longest segments first
-            stop = done + max(1, int(np.searchsorted(np.cumsum(sizes[order[done:]]), 400_000)))
-            block = order[done:stop]
-            out[block] = self._block([segments[i] for i in block], sizes[block])
-            done = stop
-        letters = sizes - np.fromiter((s.count(" ") for s in segments), np.int64, n)
+        out, letters = np.zeros((n, n_lang)), np.zeros(n, np.int64)
+        done, total, k = 0, 0, 0
+        for k, s in enumerate(segments):  # blocks of bounded size
+            total += len(s)
+            if total > 800_000:
+                out[done : k + 1], letters[done : k + 1] = self._block(segments[done : k + 1])
+                done, total = k + 1, 0
+        if done < n:
+            out[done:], letters[done:] = self._block(segments[done:])
         return out, letters
 
-    def _block(self, segs: list[str], sizes: np.ndarray) -> np.ndarray:
-        n, n_lang, longest = len(segs), len(self.langs), int(sizes[0]) if len(segs) else 0
-        start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        codes = np.frombuffer("".join(segs).translate(self.translate).encode("latin-1"), np.uint8).astype(np.int64)
+    def _block(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        n, n_lang = len(segs), len(self.langs)
+        # letters as codes, everything else one blank, a blank at both ends of a segment
+        chars = np.frombuffer(("\n" + "\n\n".join(segs) + "\n").lower().encode("utf-32-le", "replace"), np.uint32)
+        raw = self.codes[np.minimum(chars, 0xFFFF)]
+        end = chars == 10
+        blank = self.code.get(" ", 0)
+        void = (raw == blank) & ~end
+        follows = np.concatenate([[False], (raw[:-1] == blank)])
+        before_end = np.concatenate([end[1:], [False]])
+        keep = ~(void & (follows | before_end))
+        codes, end = raw[keep].astype(np.int64), end[keep]
+        at = np.flatnonzero(end)
+        start, stop = at[0::2], at[1::2]
+        sizes = stop - start + 1
+        letters = np.add.reduceat((codes != blank).astype(np.int64), start) if n else np.zeros(0, np.int64)
+        # long segments advance in pieces; a cut costs one phrase in every language alike
+        pieces = -(-sizes // PIECE)
+        owner = np.repeat(np.arange(n), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lo = start[owner] + nth * sizes[owner] // pieces[owner]
+        sizes = start[owner] + (nth + 1) * sizes[owner] // pieces[owner] - lo
+        order = np.argsort(-sizes, kind="stable")
+        owner, start, sizes = owner[order], lo[order], sizes[order]
+        n_seg, n = n, len(order)
+        longest = int(sizes[0]) if n else 0
         state, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
         states, lengths = np.zeros(len(codes), np.int32), np.zeros(len(codes), np.uint8)
         live = n
@@ -180,13 +217,14 @@ class LanguageModel:
             pos = pos - flat[pos * n_lang + lang]
             keep = pos >= first
             idx, pos, first, lang = idx[keep], pos[keep], first[keep], lang[keep]
-        return count.reshape(n, n_lang)
+        count = count.reshape(n, n_lang)
+        return np.stack([np.bincount(owner, weights=count[:, k], minlength=n_seg) for k in range(n_lang)], 1), letters
 
     def classify(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language index or -1, confidence, letters) of each segment."""
         if not segments or not self.langs:
             return np.full(len(segments), -1), np.zeros(len(segments)), np.zeros(len(segments), np.int64)
-        ph, letters = self.phrases([plain(s) for s in segments])
+        ph, letters = self.phrases(segments)
         rate = ph / np.maximum(letters, 1)[:, None]
         best = rate.argmin(1)
         top = rate[np.arange(len(rate)), best]
@@ -197,18 +235,15 @@ class LanguageModel:
         return np.where(letters >= 1, best, -1), conf, letters
 
 
-class _Codes(dict):
-    def __init__(self, code):
-        super().__init__({ord(c): chr(i) for c, i in code.items()})
-
-    def __missing__(self, key):
-        return "\x00"
-
-
 def fit(pages: list[tuple[str, list[str]]], rounds: int = 2) -> LanguageModel:
     """A model from sampled (label, segments).  Labels are often wrong, so sentences are kept only where
     a word-count classifier, refitted on what it keeps, agrees with the label."""
-    rows = [(lang, plain(s)) for lang, segs in pages for s in segs if len(s) >= 25]
+    rows, have = [], Counter()
+    for lang, segs in pages:
+        if have[lang] < TRAIN_SENTENCES:
+            new = [(lang, plain(s)) for s in segs if len(s) >= 25]
+            rows += new
+            have[lang] += len(new)
     times = Counter(rows)
     words = [(lang, s, set(s.split())) for lang, s in times]
     langs = [k for k, v in Counter(r[0] for r in rows).items() if v >= 5]
@@ -250,31 +285,35 @@ def fit(pages: list[tuple[str, list[str]]], rounds: int = 2) -> LanguageModel:
 
 
 def page_languages(model: LanguageModel, parts: list[list[str]]) -> list[dict]:
-    """For each page: sentences per language, and the segments' languages with confidence.
+    """For each page: its main language, sentences per language, and the segments' languages with
+    confidence (index arrays).
 
     A segment of few letters, or one that hardly prefers a language, goes with its neighbours."""
-    flat = [s for p in parts for s in p]
-    lang, conf, letters = model.classify(flat)
+    lang, conf, letters = model.classify([s for p in parts for s in p])
+    strong, sure = letters >= LEAST_LETTERS, (letters >= LEAST_LETTERS) & (conf >= SURE)
+    names = model.langs
     out, at = [], 0
     for p in parts:
         n = len(p)
-        ls, cs, le = lang[at : at + n].copy(), conf[at : at + n], letters[at : at + n]
-        at += n
-        weight = np.zeros(len(model.langs))
-        strong = le >= LEAST_LETTERS
-        for k, w in zip(ls, le):
-            if k >= 0:
-                weight[k] += w
-        main = int(weight.argmax()) if len(weight) and weight.any() else -1
-        sure = strong & (cs >= SURE)
+        ls = lang[at : at + n].tolist()
+        if not n or not names or max(ls) < 0:
+            out.append({"main": None, "counts": {}, "langs": [-1] * n, "conf": conf[at : at + n]})
+            at += n
+            continue
+        if min(ls) == max(ls):
+            main = ls[0]
+            out.append({"main": names[main], "counts": {names[main]: int(strong[at : at + n].sum())}, "langs": ls, "conf": conf[at : at + n]})
+            at += n
+            continue
+        known = lang[at : at + n] >= 0
+        main = int(np.bincount(lang[at : at + n][known], weights=letters[at : at + n][known]).argmax())
+        st, su = strong[at : at + n].tolist(), sure[at : at + n].tolist()
         for i in range(n):
-            if ls[i] >= 0 and ls[i] != main and not sure[i]:
-                beside = [j for j in (i - 1, i + 1) if 0 <= j < n and sure[j]]
-                ls[i] = ls[i] if any(ls[j] == ls[i] for j in beside) and strong[i] else ls[beside[0]] if beside and not strong[i] else main
-        counts = Counter(model.langs[k] for k, s in zip(ls, strong) if k >= 0 and s)
-        out.append({
-            "main": model.langs[main] if main >= 0 else None,
-            "share": float(weight[main] / weight.sum()) if main >= 0 else 0.0,
-            "counts": counts, "langs": [model.langs[k] if k >= 0 else None for k in ls], "conf": [float(c) for c in cs],
-        })
+            if ls[i] >= 0 and ls[i] != main and not su[i]:
+                beside = [j for j in (i - 1, i + 1) if 0 <= j < n and su[j]]
+                if not (st[i] and any(ls[j] == ls[i] for j in beside)):
+                    ls[i] = ls[beside[0]] if beside and not st[i] else main
+        counts = Counter(names[k] for k, s in zip(ls, st) if k >= 0 and s)
+        out.append({"main": names[main], "counts": counts, "langs": ls, "conf": conf[at : at + n]})
+        at += n
     return out

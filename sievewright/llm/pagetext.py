@@ -25,7 +25,7 @@ _FOOT = re.compile(
     r"|(?:(?:cookies|rss|imprint|privacy|terms|impressum)\s*[|·�?]\s*){1,3}[^\s|·]{1,40}|↑ top)\s*$",
     re.I,
 )
-_SENT = re.compile(r"(?<=[.!?…])[\"”»’“)\]]*[ \t ]+|\s*[\n\r]+\s*")
+_END = re.compile(r"[.!?…][\"”»’“)\]]*[ \t\xa0]+|[\n\r]+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s\x00]+|_+|\x00")
 
 
@@ -43,7 +43,17 @@ def body(text: str) -> str:
 
 def segments(text: str) -> list[str]:
     """Sentences and lines of a text, without navigation and footer."""
-    return [s for s in _SENT.split(body(text)) if s]
+    text = body(text)
+    out, at = [], 0
+    for m in _END.finditer(text):
+        s = text[at : m.end()].strip()
+        if s:
+            out.append(s)
+        at = m.end()
+    s = text[at:].strip()
+    if s:
+        out.append(s)
+    return out
 
 
 class Vocabulary(dict):

@@ -12,14 +12,20 @@
 3. A text is cut when it is incomplete and has a significant length, or when its final words never
    end a sentence in the corpus; copies of a cut text are cut.
 
-Everything is columns and aggregates; all counts cover all texts.  Hot sources are harmless: the
+The texts are read once, in Arrow batches that add up their own counts; all counts cover all texts.  Hot sources are harmless: the
 histograms are aggregated before any window sees them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievewright.llm.mixing import source_name
 from sievewright.session import materialise
@@ -34,30 +40,62 @@ BINS = 3000
 ENDS = 2
 
 #: What may stand in the place of the rest.
-MARK = r"(?:\s*(?:\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3,}))$"
+MARK = re.compile(r"\s*(?:\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3,})$")
 #: A stop, with closing quotes and brackets after it.
-STOP = r"[.!?。！？]['\"”»’“)\]]*$"
-_LINK = r"(?:https?://|www\.)\S+$"
+STOP = re.compile(r"[.!?。！？]['\"”»’“)\]]*$")
+_END = re.compile(r"[.!?。！？…]['\"”»’“)\]]*(?:\s+|$)|\s*\n\s*")
+_LINK = re.compile(r"(?:https?://|www\.)\S+$")
+_WORD = re.compile(r"[^\W\d_]{2}")
+_DIGITS = re.compile(r"\d+")
+_LABEL = re.compile(r"(\S+(?: \S+)? ?:) ")
+_QUOTES = str.maketrans("", "", "\"“”„«»()[]‘'")
 
 
-def _plain(c: Column) -> Column:
+def plain(s: str) -> str:
     """Lower case, numbers as 0, quotes and brackets off, blanks single."""
-    c = F.regexp_replace(F.lower(c), r"\d+", "0")
-    c = F.regexp_replace(c, r"[\"“”„«»()\[\]‘']", "")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return " ".join(_DIGITS.sub("0", s.lower()).translate(_QUOTES).split())
 
 
-def _last_words(c: Column, n: int) -> Column:
-    return F.regexp_extract(c, rf"((?:\S+ ){{0,{n - 1}}}\S+)$", 1)
+def last_words(sentence: str) -> str:
+    """The last three words of a sentence, as plain()."""
+    return " ".join(plain(" ".join(sentence.rstrip(".!?。！？…'\"”»’“)] ").rsplit(None, 4)[-4:])).split()[-3:])
 
 
-def _opening(c: Column) -> Column:
+def opening(sentence: str) -> str:
     """The opening of a line or sentence: a bullet or dash alone, a label up to its colon, else two words."""
-    return F.coalesce(
-        F.nullif(F.regexp_extract(c, r"^([^\p{L}\p{N}\s])(?: |$)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(c, r"^(\S+(?: \S+)? ?:) ", 1), F.lit("")),
-        F.regexp_extract(c, r"^(\S+(?: \S+)?)", 1),
-    )
+    c = plain(sentence[:80])
+    if c and not c[0].isalnum() and (len(c) == 1 or c[1] == " "):
+        return c[0]
+    m = _LABEL.match(c)
+    return m.group(1) if m else " ".join(c.split(" ")[:2])
+
+
+def read(text: str) -> tuple[list[str], list[str], tuple | None]:
+    """(final words of the stopped sentences, their openings, the ending) of a text.
+
+    The ending is None when the text ends with a stop, else (marked, wordless, words, opening)."""
+    t = text.rstrip()
+    tail = MARK.sub("", t[-40:])
+    marked = len(tail) < len(t[-40:])
+    core = t[: max(0, len(t) - 40)] + tail
+    ends, begins, at = set(), set(), 0
+    for m in _END.finditer(core):  # a mark in the place of the rest ends no sentence
+        if m.group()[0] in ".!?。！？":
+            s = core[at : m.start()].strip()
+            if s:
+                ends.add(last_words(s))
+                begins.add(opening(s))
+        at = m.end()
+    if not marked and STOP.search(tail):
+        return list(ends), list(begins), None
+    line = core[core.rfind("\n") + 1 :]
+    at = 0
+    for m in _END.finditer(line):
+        if m.end() < len(line):
+            at = m.end()
+    piece = line[at:].strip()
+    wordless = not _WORD.search(piece) or bool(_LINK.search(piece))
+    return list(ends), list(begins), (marked, wordless, last_words(piece), opening(piece))
 
 
 def hazard_lengths(texts: DataFrame) -> DataFrame:
@@ -89,51 +127,47 @@ def hazard_lengths(texts: DataFrame) -> DataFrame:
     return h.join(F.broadcast(cut), F.col("_bin") >= F.col("_least")).select("source", "unit", "len", "n")
 
 
-def endings(texts: DataFrame) -> DataFrame:
-    """The ending of each text: doc_id, source, _x, chars, bytes, marked, open (no stop), words (last
-    three of the ending), opening (of the last line or sentence), empty ending (no word, or a link)."""
-    t = F.rtrim(F.regexp_replace(F.col("_text"), r"\s+$", ""))
-    d = texts.select("doc_id", "source", F.xxhash64("_text").alias("_x"), F.length("_text").alias("chars"), F.octet_length("_text").alias("bytes"), t.alias("_t"))
-    d = d.withColumn("marked", F.col("_t").rlike(MARK)).withColumn("_t", F.regexp_replace("_t", MARK, ""))
-    last = F.regexp_extract("_t", r"([^\n]*)$", 1)
-    piece = F.regexp_extract(last, r"(?:^|[.!?]['\"”»’“)\]]*\s+)((?:(?![.!?]['\"”»’“)\]]*\s).)*)$", 1)
-    d = d.withColumn("_p", F.trim(F.col("_t"))).withColumn("_p", F.trim(piece))
-    plain = _plain(F.col("_p"))
-    return d.select(
-        "doc_id", "source", "_x", "chars", "bytes", "marked",
-        (F.col("marked") | ~F.col("_t").rlike(STOP)).alias("open"),
-        (~F.col("_p").rlike(r"\p{L}{2}") | F.col("_p").rlike(_LINK)).alias("wordless"),
-        _last_words(plain, 3).alias("words"),
-        _opening(plain).alias("opening"),
-    )
+READ_SCHEMA = "kind int, key string, n long, doc_id {id}, source string, _x long, chars int, bytes int, marked boolean, wordless boolean, words string, opening string"
+ENDING, STOPPED, BEGUN = range(3)
 
 
-def sentence_ends(texts: DataFrame) -> DataFrame:
-    """words (last three of a sentence), n: how many sentences of distinct texts end with them."""
-    found = F.array_distinct(F.regexp_extract_all(F.concat(F.col("_text"), F.lit(" ")), F.lit(r"((?:[^\s.!?]+\s+){0,2}[^\s.!?]+)[.!?]['\"”»’“)\]]*\s"), F.lit(1)))
-    e = texts.select(F.explode(found).alias("_w")).select(_last_words(_plain(F.col("_w")), 3).alias("words"))
-    return e.groupBy("words").agg(F.count(F.lit(1)).alias("n_end"))
+def _read_batches(id_type: pa.DataType):
+    """One pass over the texts: open endings as rows, and counts of sentence ends and openings, added
+    up per batch."""
+    fields = [("kind", pa.int32()), ("key", pa.string()), ("n", pa.int64()), ("doc_id", id_type), ("source", pa.string()), ("_x", pa.int64()), ("chars", pa.int32()), ("bytes", pa.int32()), ("marked", pa.bool_()), ("wordless", pa.bool_()), ("words", pa.string()), ("opening", pa.string())]
+    schema = pa.schema(fields)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stopped, begun, rows = Counter(), Counter(), []
+            for i, source, text, x, chars, size in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                ends, begins, ending = read(text)
+                stopped.update(ends)
+                begun.update(begins)
+                if ending:
+                    rows.append((ENDING, None, None, i, source, x, chars, size, *ending))
+            for kind, counter in ((STOPPED, stopped), (BEGUN, begun)):
+                rows += [(kind, k, n, *[None] * 9) for k, n in counter.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
-def sentence_openings(texts: DataFrame) -> DataFrame:
-    """opening, n: how many stopped sentences begin with it."""
-    found = F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(r"(?:^|\n|[.!?]['\"”»’“)\]]*\s+)([^\n.!?]{1,60})(?=[^\n.!?]*[.!?](?:['\"”»’“)\]]*)(?:\s|$))"), F.lit(1)))
-    e = texts.select(F.explode(found).alias("_w")).select(_opening(_plain(F.col("_w"))).alias("opening"))
-    return e.groupBy("opening").agg(F.count(F.lit(1)).alias("n_begin"))
+    return run
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Every non-blank document with an open ending and what was found about it."""
     texts = docs.where(F.col("text").rlike(r"\S")).select("doc_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("source"), F.col("text").alias("_text"))
-    e = endings(texts).where("open")
-    e = materialise(e)
+    given = texts.select("doc_id", "source", "_text", F.xxhash64("_text"), F.length("_text"), F.octet_length("_text"))
+    id_field = given.schema["doc_id"]
+    found = materialise(given.mapInArrow(_read_batches(to_arrow_type(id_field.dataType)), READ_SCHEMA.format(id=id_field.dataType.simpleString())))
+    e = found.where(F.col("kind") == ENDING).drop("kind", "key", "n")
     sizes = hazard_lengths(texts)
     by_chars = sizes.where("unit = 'chars'").select("source", F.col("len").alias("chars"), F.lit(True).alias("_c"))
     by_bytes = sizes.where("unit = 'bytes'").select("source", F.col("len").alias("bytes"), F.lit(True).alias("_b"))
     # texts that end like this, counted once per text: openings that stand unstopped
     unstopped = e.where("NOT marked").select("opening", "_x").distinct().groupBy("opening").agg(F.count(F.lit(1)).alias("n_open"))
-    begins = sentence_openings(texts)
-    ends = sentence_ends(texts)
+    count = lambda kind, key, n: found.where(F.col("kind") == kind).groupBy(F.col("key").alias(key)).agg(F.sum("n").alias(n))
+    begins, ends = count(BEGUN, "opening", "n_begin"), count(STOPPED, "words", "n_end")
     e = (
         e.join(by_chars, ["source", "chars"], "left").join(by_bytes, ["source", "bytes"], "left")
         .join(unstopped, "opening", "left").join(begins, "opening", "left").join(ends, "words", "left")

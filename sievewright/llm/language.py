@@ -19,6 +19,8 @@ import numpy as np
 TRAIN_CHARS, LONGEST = 18_000, 40
 #: Labelled sentences per language that training text is chosen from.
 TRAIN_SENTENCES = 4_000
+#: Longest sentence to train on; longer ones are hardly sentences, and links of the automaton would be as deep.
+TRAIN_LONGEST = 400
 #: Characters that a segment advances by at once.
 PIECE = 200
 #: A segment shorter than this many letters takes the language of its neighbours.
@@ -241,7 +243,7 @@ def fit(pages: list[tuple[str, list[str]]], rounds: int = 2) -> LanguageModel:
     rows, have = [], Counter()
     for lang, segs in pages:
         if have[lang] < TRAIN_SENTENCES:
-            new = [(lang, plain(s)) for s in segs if len(s) >= 25]
+            new = [(lang, plain(s)) for s in segs if 25 <= len(s) <= TRAIN_LONGEST]
             rows += new
             have[lang] += len(new)
     times = Counter(rows)

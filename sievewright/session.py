@@ -52,6 +52,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are fewer than these: work that takes far longer a row
+    than moving the row should not wait for one split.  Plans that shuffle already stay as they are."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.sparkPlan().toString() or plan.toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int = 256) -> DataFrame:
     """Hint a broadcast only when ``rows`` (counted by the caller) proves the side small."""
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df

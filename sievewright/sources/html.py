@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.session import spread
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a following one of the same family closes.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -38,19 +40,17 @@ jsonld_date_published string, is_accessible_for_free boolean, microdata_types ar
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "text", "order")
+    """An element with what its ancestors make of it, known when it is opened."""
+
+    __slots__ = ("tag", "attrs", "parent", "order", "in_body", "in_form", "aside", "anchor")
 
     def __init__(self, tag, attrs, parent, order):
         self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
-        self.text: list[str] = []
-
-    def within(self, tags) -> bool:
-        e = self
-        while e is not None:
-            if e.tag in tags:
-                return True
-            e = e.parent
-        return False
+        up = parent
+        self.in_body = tag == "body" or (up is not None and up.in_body)
+        self.in_form = tag == "form" or (up is not None and up.in_form)
+        self.aside = tag in ASIDE or (up is not None and up.aside)
+        self.anchor = self if tag == "a" else up.anchor if up is not None else None
 
 
 class Document(HTMLParser):
@@ -159,7 +159,7 @@ def main_text(doc: Document) -> str:
     when it is long or dense enough and mostly not anchor text)."""
     blocks: dict[int, list] = {}
     for e, t in doc.pieces:
-        if e is None or e.within(ASIDE) or not e.within({"body"}) or not t.strip():
+        if e is None or e.aside or not e.in_body or not t.strip():
             continue
         b, linked = e, False
         while b.parent is not None and b.tag not in BLOCK and b.tag not in ("p", "li", "td", "dd", "body"):
@@ -190,17 +190,16 @@ def facts(url: str | None, html: str | None, domain: str | None = None) -> dict:
     links = [(e.attrs.get("rel", "").lower().split(), e.attrs) for e in doc.of("link")]
     alternates = [a for rel, a in links if "alternate" in rel]
     internal = external = articles = 0
+    resolved: dict[str, int] = {}
     anchors = doc.of("a")
     text_of: dict[int, list[str]] = {}
     body_pieces = []
     for e, t in doc.pieces:
-        if e is not None and e.within({"body"}):
-            body_pieces.append(t)
-        p = e
-        while p is not None and p.tag != "a":
-            p = p.parent
-        if p is not None:
-            text_of.setdefault(p.order, []).append(t)
+        if e is not None:
+            if e.in_body:
+                body_pieces.append(t)
+            if e.anchor is not None:
+                text_of.setdefault(e.anchor.order, []).append(t)
     cart = False
     for a in anchors:
         href = a.attrs.get("href")
@@ -209,6 +208,10 @@ def facts(url: str | None, html: str | None, domain: str | None = None) -> dict:
         shown = (href + " " + "".join(text_of.get(a.order, []))).lower()
         cart = cart or any(c in shown for c in CART)
         href = href.strip()
+        if href in resolved:
+            kind = resolved[href]
+            internal, external, articles = internal + (kind > 0), external + (kind == 0), articles + (kind == 2)
+            continue
         if not href or href.startswith(("#", "javascript:", "mailto:", "tel:")):
             continue
         try:
@@ -217,12 +220,13 @@ def facts(url: str | None, html: str | None, domain: str | None = None) -> dict:
         except ValueError:
             continue
         if to in ("", host, domain) or (domain and to.endswith("." + domain)):
-            internal += 1
-            articles += bool(ARTICLE.search(target.path))
+            kind = 2 if ARTICLE.search(target.path) else 1
         else:
-            external += 1
+            kind = 0
+        resolved[href] = kind
+        internal, external, articles = internal + (kind > 0), external + (kind == 0), articles + (kind == 2)
     inputs = [(e, e.attrs.get("type", "").lower(), e.attrs.get("name", "").lower()) for e in doc.of("input")]
-    in_form = [(kind, name) for e, kind, name in inputs if e.within({"form"})]
+    in_form = [(kind, name) for e, kind, name in inputs if e.in_form]
     ld = linked_data([doc.text_under(e) for e in doc.of("script") if e.attrs.get("type", "").lower() == "application/ld+json"])
     body = " ".join(t for t in body_pieces if t).strip()
     first = lambda tag: next(iter(doc.of(tag)), None)
@@ -301,4 +305,4 @@ def extract(pages: DataFrame, id_col: str, url_col: str = "url", html_col: str =
                     rows.append({"_id": i, **r})
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
 
-    return src.mapInArrow(run, ddl).withColumnRenamed("_id", id_col)
+    return spread(src).mapInArrow(run, ddl).withColumnRenamed("_id", id_col)

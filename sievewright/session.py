@@ -57,7 +57,7 @@ def spread(df: DataFrame) -> DataFrame:
     than moving the row should not wait for one split.  Plans that shuffle already stay as they are."""
     spark = df.sparkSession
     plan = df._jdf.queryExecution()
-    if "Exchange" in plan.sparkPlan().toString() or plan.toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism:
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism)
 

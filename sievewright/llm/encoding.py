@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The split pattern of the vocabulary, a fixed value.
@@ -204,7 +206,7 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     Null and empty texts give an empty list.  Strings that look like control tokens are ordinary
     text.  Other columns are ignored; repeated rows give repeated rows.
     """
-    src = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     short = src.where(F.col("_text").isNull() | (F.length("_text") <= long_chars))
     kind = dict(src.dtypes)["_id"]
     done = short.mapInArrow(_encode_batches(folder, False), f"_id {kind}, ids array<int>")
@@ -234,6 +236,6 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """(id, n_tokens), one row per input row; null and empty texts have 0."""
-    src = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     kind = dict(src.dtypes)["_id"]
     return src.mapInArrow(_encode_batches(folder, True), f"_id {kind}, n_tokens long").withColumnRenamed("_id", id_col)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sievewright.llm.mixing import source_name
-from sievewright.session import materialise
+from sievewright.session import materialise, spread
 
 #: Neighbourhood of a length for its expected hazard: up to NEAR, leaving out GUARD on both sides.
 NEAR, GUARD = 60, 5
@@ -159,7 +159,7 @@ def judged(docs: DataFrame) -> DataFrame:
     texts = docs.where(F.col("text").rlike(r"\S")).select("doc_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("source"), F.col("text").alias("_text"))
     given = texts.select("doc_id", "source", "_text", F.xxhash64("_text"), F.length("_text"), F.octet_length("_text"))
     id_field = given.schema["doc_id"]
-    found = materialise(given.mapInArrow(_read_batches(to_arrow_type(id_field.dataType)), READ_SCHEMA.format(id=id_field.dataType.simpleString())))
+    found = materialise(spread(given).mapInArrow(_read_batches(to_arrow_type(id_field.dataType)), READ_SCHEMA.format(id=id_field.dataType.simpleString())))
     e = found.where(F.col("kind") == ENDING).drop("kind", "key", "n")
     sizes = hazard_lengths(texts)
     by_chars = sizes.where("unit = 'chars'").select("source", F.col("len").alias("chars"), F.lit(True).alias("_c"))

@@ -21,8 +21,8 @@ import zstandard
 READ = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "iso8859_5"]
 WRITTEN = ["cp1252", "iso8859_2", "cp1250", "cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "cp437"]
 #: Cost in bytes of one step of a chain, by what it claims.
-UTF8_COST, SINGLE_COST = 1, 2
-UTF8_CHANCE = 0.5
+UTF8_COST, SINGLE_COST = 0.8, 2
+UTF8_CHANCE = 0.9
 #: A single-byte step holds for all tokens; one that it cannot explain has to be said apart.
 EXCEPT_COST = 2
 #: Steps of a chain, candidates compressed per step, tokens a dictionary holds, its bytes.
@@ -334,7 +334,14 @@ def fit(pages: list[tuple[str, str]]) -> CharsetModel:
                 u = undo(form, step)
                 if u and step[1] == "utf_8":
                     u = undo(u, step) or u
-                if u and sum(map(str.isalpha, u)) >= (step[1] != "utf_8") * sum(map(str.isalpha, t)) and count.get(u.strip(_SOFT_EDGE).lower(), 0) > n:
+                if not u:
+                    continue
+                bare = u.strip(_SOFT_EDGE)
+                if step[1] == "utf_8":
+                    better = bare.isascii() or count.get(bare.lower(), 0) > n
+                else:
+                    better = sum(map(str.isalpha, u)) >= sum(map(str.isalpha, t)) and count.get(bare.lower(), 0) > n
+                if better:
                     ok = False
                     break
             if not ok:

@@ -30,6 +30,12 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
 
 
+def language_name(c: Column) -> Column:
+    """The base of a language code, lower case; whatever is no code is other, so that leaves stay few."""
+    base = F.regexp_extract(F.lower(F.trim(c)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.when(F.coalesce(base, F.lit("")) != "", base).otherwise("other")
+
+
 class Node:
     """A node of the budget tree: weight among its siblings, capacity, children."""
 
@@ -120,7 +126,7 @@ class Mix:
         for r in targets.select(source_name(F.col("source")).alias("s"), "target_share", "max_repeats").where("s is not null").collect():
             share, reps = self.targets.get(r.s, (0.0, 0))
             self.targets[r.s] = (share + float(r.target_share or 0), max(reps, int(r.max_repeats or 0)))
-        listed = docs.select("doc_id", source_name(F.col("source")).alias("source"), F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), "text")
+        listed = docs.select("doc_id", source_name(F.col("source")).alias("source"), language_name(F.col("lang")).alias("lang"), "text")
         listed = listed.where(F.col("source").isin(sorted(self.targets)))
         counts = listed.select(F.struct("doc_id", "source", "lang").alias("_key"), "text")
         counts = encoding.token_counts(counts, "_key", "text", folder)

@@ -119,12 +119,16 @@ def hazard_lengths(texts: DataFrame) -> DataFrame:
     k, mu = F.col("n"), F.col("_mu")
     tail = F.when((k > mu) & (k >= LEAST), (k * F.log(k / mu) - k + mu) / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
     h = h.withColumn("_bin", F.least(F.lit(BINS), F.floor(tail * 10)).cast("int"))
+    # a row per length that occurs; read twice below
+    h = materialise(h.select("source", "unit", "len", "n", "_bin"))
     # step-up: the least p-value bin b with p(b) <= FDR * (tests at or below it) / tests
     bins = h.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
     down = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)  # at most BINS + 1 rows
     bins = bins.withColumn("_rank", F.sum("_n").over(down)).withColumn("_m", F.sum("_n").over(Window.partitionBy(F.lit(0))))
-    cut = bins.where(F.pow(F.lit(10.0), -F.col("_bin") / 10) <= FDR * F.col("_rank") / F.col("_m")).agg(F.min("_bin").alias("_least"))
-    return h.join(F.broadcast(cut), F.col("_bin") >= F.col("_least")).select("source", "unit", "len", "n")
+    hit = bins.where(F.pow(F.lit(10.0), -F.col("_bin") / 10) <= FDR * F.col("_rank") / F.col("_m")).agg(F.min("_bin").alias("_least"))
+    least = hit.first()["_least"]  # one number
+    found = h.where(F.col("_bin") >= least) if least is not None else h.where(F.lit(False))
+    return found.select("source", "unit", "len", "n")
 
 
 READ_SCHEMA = "kind int, key string, n long, doc_id {id}, source string, _x long, chars int, bytes int, marked boolean, wordless boolean, words string, opening string"

@@ -76,12 +76,11 @@ def frontier_admit(spark, d):
     return rows.select("url_norm", "line_no", "scope", "skip_reason", "status")
 
 
-@query("SELECT count(*) AS n_state, (SELECT count(DISTINCT url_norm) FROM urls) AS n_urls FROM (SELECT url_norm FROM page_html UNION SELECT url_norm FROM urls)")
+@query("SELECT domain, count(*) AS n FROM (SELECT url_norm, domain FROM page_records QUALIFY row_number() OVER (PARTITION BY url_norm ORDER BY page_id) = 1 UNION ALL SELECT url_norm, domain FROM urls WHERE url_norm NOT IN (SELECT url_norm FROM page_records WHERE url_norm IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY url_norm ORDER BY line_no) = 1) GROUP BY domain")
 def frontier_insert_absent(spark, d):
-    urls = frontier.first_wins(table(spark, d, "urls").select("url_norm", "line_no"), "url_norm", "line_no").select("url_norm")
-    pages = table(spark, d, "page_html").select("url_norm").distinct()
-    state = frontier.insert_absent(pages, urls)
-    return state.agg(F.count(F.lit(1)).alias("n_state")).join(urls.agg(F.count(F.lit(1)).alias("n_urls")))
+    state = frontier.first_wins(table(spark, d, "page_records").select("url_norm", "domain", "page_id"), "url_norm", "page_id").select("url_norm", "domain")
+    new = frontier.first_wins(table(spark, d, "urls").select("url_norm", "domain", "line_no"), "url_norm", "line_no").select("url_norm", "domain")
+    return frontier.insert_absent(state, new).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT status, count(*) AS n FROM urls GROUP BY status")

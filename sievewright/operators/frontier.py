@@ -20,18 +20,24 @@ SETTABLE = {"status", "attempts", "next_attempt_at", "last_error_code", "last_er
 STATUSES = ["pending", "fetching", "fetched", "failed_fetch", "dead", "blocked_robots", "blocked_robots_unavailable", "skipped_filter", "skipped_nonhtml", "skipped_too_large", "extracted", "classified", "needs_human", "done"]
 
 
+def _ordered(df: DataFrame, cols: list[str]) -> list[Column]:
+    """The columns that can be compared, which settle ties the same way every time."""
+    kinds = dict(df.dtypes)
+    return [F.col(c) for c in cols if "map<" not in kinds[c] and kinds[c] != "variant"]
+
+
 def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the least ``order``.  An aggregate, not a window: partial minima are taken
+    """One row per key, the least ``order``, ties by the other columns.  An aggregate, not a window: partial minima are taken
     before the shuffle, so a key with a third of all rows moves as one row per task."""
     rest = [c for c in df.columns if c != key]
-    least = F.min_by(F.struct(*rest), F.col(order)).alias("_r")
+    least = F.min_by(F.struct(*rest), F.struct(F.col(order), *_ordered(df, rest))).alias("_r")
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(least).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """One row per key, the greatest by ``order``: the upsert rule of append-only tables."""
+    """One row per key, the greatest by ``order``, ties by the other columns: the upsert rule of append-only tables."""
     rest = [c for c in df.columns if c != key]
-    last = F.max_by(F.struct(*rest), F.struct(*[F.col(o) for o in order])).alias("_r")
+    last = F.max_by(F.struct(*rest), F.struct(*[F.col(o) for o in order], *_ordered(df, rest))).alias("_r")
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 

@@ -48,6 +48,9 @@ def test_updates(spark):
     assert [r.url_norm for r in frontier.pending(frontier.requeue_stuck(s)).collect()] == ["b", "a"]
     assert frontier.counts_by_status(s).count() == 3 and frontier.first_seen(s).count() == 1
     assert frontier.latest(s.where("false"), "url_norm", "attempts").count() == 0
+    tie = spark.createDataFrame([("k", 1, "b", {"x": 1}), ("k", 1, "a", None), (None, 0, "z", None), ("n", None, None, None)], "k string, o int, v string, m map<string,int>")
+    assert {(r.k, r.v) for r in frontier.first_wins(tie, "k", "o").collect()} == {("k", "a"), ("n", None)}
+    assert {(r.k, r.v) for r in frontier.latest(tie, "k", "o").collect()} == {("k", "b"), ("n", None)}
 
 
 def test_state_store_swaps_whole_versions(spark, tmp_path):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.functions import guard
+from sievewright.functions import guard, langid
 from sievewright.functions import text as T
 from sievewright.functions import urls as U
 from sievewright.operators import frontier, ladder, records, taxonomy
@@ -264,6 +264,12 @@ def language_block(spark, d):
     return b.select("page_id", F.col("b.value").alias("lang"), F.col("b.method").alias("lang_method"), F.col("b.agreement").alias("agrees")).distinct()
 
 
+@query()
+def language_detected(spark, d):
+    x = table(spark, d, "page_html").select("page_id", langid.detect(F.lit(None).cast("string"), F.col("body_text"), F.col("html_lang")).alias("x"))
+    return x.select("page_id", "x.value", "x.confidence", "x.method", "x.agreement")
+
+
 @query("""SELECT page_id, array_to_string(list_transform(coalesce(headings, [])[1:15], lambda h: substring(h, 1, 80)), '|') AS headings, array_to_string(coalesce(meta_keywords, [])[1:20], '|') AS keywords FROM page_html""")
 def page_lists(spark, d):
     e = F.array().cast("array<string>")

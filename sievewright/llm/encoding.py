@@ -206,8 +206,8 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     Null and empty texts give an empty list.  Strings that look like control tokens are ordinary
     text.  Other columns are ignored; repeated rows give repeated rows.
     """
-    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
-    short = src.where(F.col("_text").isNull() | (F.length("_text") <= long_chars))
+    src = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    short = spread(src.where(F.col("_text").isNull() | (F.length("_text") <= long_chars)))
     kind = dict(src.dtypes)["_id"]
     done = short.mapInArrow(_encode_batches(folder, False), f"_id {kind}, ids array<int>")
     # a row of its own per leaf; the text's row number tells equal ids apart

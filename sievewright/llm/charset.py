@@ -35,6 +35,7 @@ COMMON = 0.06
 
 _BLANKS = str.maketrans("\t\n\r", "   ")
 _INSIDE = re.compile(r"[^\W\d_][“”„«»—–…°•][^\W\d_]|^[”»…][^\W\d_]|[“„«]$|[“”„]{2}")
+_RUN = re.compile(r"[^ \t\n\r]+")
 _ENTITY = re.compile(r"&(?:#\d{2,6}|#[xX][0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d{0,2});")
 _ASCII_EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SOFT_EDGE = _ASCII_EDGE + "“”„«»‘’‹›…–—¿¡"
@@ -54,9 +55,21 @@ def _to_bytes(codec: str) -> dict:
         table.setdefault(ord(c), b)
     for b in range(128, 256):
         table.setdefault(b, b if b < 160 else 0xFFFF)
+    # a replacement character stands for the one byte that the codec does not know
+    void = [b for b in range(256) if not _knows(codec, b)]
+    if len(void) == 1:
+        table[0xFFFD] = void[0]
     return table
 
 
+def _knows(codec: str, b: int) -> bool:
+    try:
+        bytes([b]).decode(codec)
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
 class _Table(dict):
     """A translate() table that holds all it was asked for."""
 
@@ -260,7 +273,15 @@ class CharsetModel:
                 break
             _, _, step, best = min(scored)
             chain += (step,)
-        out = (lost or bool(chain), {a: b for a, b in zip(origin, best) if a != b})
+        new = {a: b for a, b in zip(origin, best) if a != b}
+        for t in suspects if chain and lost else ():
+            u = t
+            for step in chain:  # what was undone for the others may bring lost bytes back too
+                for _ in range(DEPTH if step[1] == "utf_8" else 1):
+                    u = undo(u, step) or u
+            if u != t and "�" not in u and "�" in t:
+                new[t] = u
+        out = (lost or bool(chain), new)
         if len(self.seen) > 50_000:
             self.seen.clear()
         self.seen[suspects] = out
@@ -279,7 +300,7 @@ class CharsetModel:
             t = self.doubt.get(w)
             if t is None:
                 t = token(w)
-                t = "" if t.isascii() or t.lower() in known else t
+                t = "" if t.isascii() or t.lower() in known else self._whole(w, t)
                 if len(self.doubt) > 300_000:
                     self.doubt.clear()
                 self.doubt[w] = t
@@ -295,12 +316,25 @@ class CharsetModel:
         garbled, new = self.decide(tuple(suspects))
         if not garbled:
             return False, text
-        if new:
-            by_len = sorted(new, key=len, reverse=True)
-            pattern = re.compile("|".join(map(re.escape, by_len)))
-            plain = pattern.sub(lambda m: new[m.group()], plain)
+        if new:  # word by word, so that no token is replaced inside another
+            plain = _RUN.sub(lambda m: self._restore(m.group(), new), plain)
         return True, plain
 
+    def _whole(self, word: str, t: str) -> str:
+        """The token with its typographic edges where these are bytes of its last or first character:
+        where some step can undo it only so."""
+        s = word.strip(_ASCII_EDGE)
+        if s == t:
+            return t
+        for step in CHAINS[: len(READ)]:
+            if undo(s, step) is not None and undo(t, step) is None:
+                return s
+        return t
+
+    def _restore(self, word: str, new: dict[str, str]) -> str:
+        t = self.doubt.get(word) if not word.isascii() else None
+        return word.replace(t, new[t]) if t and t in new else word
+
 
 def fit(pages: list[tuple[str, str]]) -> CharsetModel:
     """Dictionaries from sampled (language label, text): frequent tokens, without those that some chain

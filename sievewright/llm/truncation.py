@@ -7,8 +7,9 @@
 2. Incomplete endings.  A text is incomplete when it does not end with a sentence's end (a mark such
    as an ellipsis put in place of the rest is taken off first).  Endings that are whole without a stop
    are recognised from the corpus, not from lists: a final line whose opening is one that mostly
-   stands unstopped at the end of texts (signatures, tags, lists, dates), a line without words (rules,
-   smileys), a link, or a last sentence whose final words end sentences elsewhere.
+   stands unstopped at the end of texts (signatures, tags, lists, dates) and is not the start of many
+   stopped sentences, a line without words (rules, smileys), a link, or a last sentence whose final
+   words end sentences elsewhere.
 3. A text is cut when it is incomplete and has a significant length, or when its final words never
    end a sentence in the corpus; copies of a cut text are cut.
 
@@ -38,6 +39,9 @@ FDR, LEAST = 1e-3, 4
 BINS = 3000
 #: Sentences of other texts that must end with the same words.
 ENDS = 2
+#: Texts that must end in an opening for it to be a formula, and their least share of the stopped
+#: sentences that start with it: a cut leaves the same piece of only a few of these.
+FORMULAS, FORMULA_SHARE = 3, 0.2
 
 #: What may stand in the place of the rest.
 MARK = re.compile(r"\s*(?:\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3,})$")
@@ -172,13 +176,18 @@ def judged(docs: DataFrame) -> DataFrame:
     unstopped = e.where("NOT marked").select("opening", "_x").distinct().groupBy("opening").agg(F.count(F.lit(1)).alias("n_open"))
     count = lambda kind, key, n: found.where(F.col("kind") == kind).groupBy(F.col("key").alias(key)).agg(F.sum("n").alias(n))
     begins, ends = count(BEGUN, "opening", "n_begin"), count(STOPPED, "words", "n_end")
+    # stopped sentences that start with an opening: a cut inside its words leaves a piece of them.  Bullets
+    # and labels are whole as they are.
+    asked = unstopped.where((F.col("n_open") >= FORMULAS) & ~F.col("opening").rlike(r":$|^[^\p{L}\p{N}]?$")).select("opening")
+    starts = begins.where("opening != ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("opening")), lambda k: F.substring("opening", F.lit(1), k))).alias("opening"), "n_begin")
+    started = starts.join(asked, "opening").groupBy("opening").agg(F.sum("n_begin").alias("n_start"))
     e = (
         e.join(by_chars, ["source", "chars"], "left").join(by_bytes, ["source", "bytes"], "left")
-        .join(unstopped, "opening", "left").join(begins, "opening", "left").join(ends, "words", "left")
-        .na.fill(0, ["n_open", "n_begin", "n_end"])
+        .join(unstopped, "opening", "left").join(begins, "opening", "left").join(started, "opening", "left").join(ends, "words", "left")
+        .na.fill(0, ["n_open", "n_begin", "n_start", "n_end"])
     )
     limit = F.coalesce(F.col("_c"), F.lit(False)) | F.coalesce(F.col("_b"), F.lit(False))
-    formula = ~F.col("marked") & (F.col("n_open") >= 3) & (F.col("n_open") > F.col("n_begin"))
+    formula = ~F.col("marked") & (F.col("n_open") >= FORMULAS) & (F.col("n_open") > F.col("n_begin")) & (F.col("n_open") > FORMULA_SHARE * F.col("n_start"))
     whole = F.col("n_end") >= ENDS
     cut = ~F.col("wordless") & ~formula & (limit | ~whole)
     return e.withColumn("at_limit", limit).withColumn("formula", formula).withColumn("whole", whole).withColumn("cut", cut)

@@ -31,6 +31,14 @@ def test_found(spark):
     assert not got & ({302, 303, 304, 305, 307, 308, 309} | set(range(60)) | set(range(200, 205)))
 
 
+def test_pieces_that_several_cut_texts_share_are_no_formula(spark):
+    body = " ".join(SENTENCES)
+    rows = corpus() + [(400 + i, " ".join(SENTENCES[(i + k) % 4] for k in range(3 + i // 4)) + f" {piece}", "feed_c", None) for i, piece in enumerate(["Nob"] * 4 + ["Nobody"] * 4 + ["The mee"] * 4)]
+    rows += [(500 + i, f"{body * (1 + i)} Written by\n- Nobody", "feed_c", None) for i in range(4)]
+    got = {r.doc_id for r in truncation.cut_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(range(400, 412)) <= got and not got & (set(range(200, 205)) | set(range(500, 504)))
+
+
 def test_length_limit_is_found(spark):
     body = "".join(SENTENCES) * 5
     rows = [(i, body[i:][: 30 + 7 * (i % 40)], "web feed", None) for i in range(150)] + [(500 + i, body[i : i + 120], "WEB-feed", None) for i in range(30)]

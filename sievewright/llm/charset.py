@@ -14,19 +14,25 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from unicodedata import category
 
 import zstandard
 
 #: Codecs a page may have been read in, and codecs it may have been written in.
-READ = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "iso8859_5"]
-WRITTEN = ["cp1252", "iso8859_2", "cp1250", "cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "cp437"]
+READ = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "iso8859_15", "iso8859_5", "cp1254", "iso8859_7", "cp1253"]
+WRITTEN = ["cp1252", "iso8859_2", "cp1250", "cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "cp437", "iso8859_5"]
 #: Cost in bytes of one step of a chain, by what it claims.
 UTF8_COST, SINGLE_COST = 0.8, 2
 UTF8_CHANCE = 0.9
-#: A single-byte step holds for all tokens; one that it cannot explain has to be said apart.
+#: A single-byte step holds for all tokens that its codec can have shown; one that it cannot explain has
+#: to be said apart.
 EXCEPT_COST = 2
-#: Steps of a chain, candidates compressed per step, tokens a dictionary holds, its bytes.
-DEPTH, BEAM, DICT_TOKENS, DICT_BYTES = 3, 6, 6000, 1 << 16
+#: A single-byte step that yields no known token has only the letters to speak for it.
+UNSEEN_COST = 4
+#: Among chains that describe a page shorter than its text, a known token is worth so many bytes.
+HIT = 0.5
+#: Steps of a chain, tokens a dictionary holds, its bytes.
+DEPTH, DICT_TOKENS, DICT_BYTES = 3, 6000, 1 << 16
 LEVEL = 9
 #: Letters that the first step of a two-step chain may leave.
 INNER = "ÃÂâäåÅÄãÐÑðñŠšŽžŸÿƒˆ˜"
@@ -152,7 +158,7 @@ def tokens(text: str) -> set[str]:
 
 
 class _Sound(dict):
-    """character -> 2 sound, 1 a C1 control, 0 a control or a letter of no known language."""
+    """character -> 2 sound, 1 a C1 control, 0 a control or a letter or mark of no known language."""
 
     def __init__(self, letters: set[str]):
         self.letters = letters
@@ -163,7 +169,7 @@ class _Sound(dict):
         elif "\x80" <= c < "\xa0":
             v = 1
         else:
-            v = 2 if c < "\x7f" or c in self.letters or not c.isalpha() else 0
+            v = 2 if c < "\x7f" or c in self.letters or category(c)[0] not in "LM" else 0
         self[c] = v
         return v
 
@@ -207,54 +213,55 @@ class CharsetModel:
             self.floors[lang] = len(self.coders[lang].compress(self.primer[lang].encode("utf-8")))
         return self.floors[lang]
 
-    def _possible(self, u: str) -> bool:
+    def _possible(self, u: str, formed: bool) -> bool:
         """No control characters (those of an inner step of a chain aside), no letters that no language
-        of the dictionaries has, and no quotes or dashes between letters."""
+        of the dictionaries has, and, but for well-formed UTF-8, no quotes or dashes between letters."""
         worst = min(map(self.sound.__getitem__, u), default=2)
         if worst < 2 and (worst == 0 or not ("â" in u or "Â" in u or "Ã" in u)):
             return False
-        return not _INSIDE.search(u)
+        return formed or not _INSIDE.search(u)
 
-    def _candidates(self, ts: list[str]) -> list[tuple[float, tuple, list[str]]]:
-        """The most promising decodings of the tokens: (cost, step, tokens)."""
+    def _candidates(self, ts: list[str]) -> list[tuple[float, float, tuple, list[str]]]:
+        """Every decoding of the tokens that some step yields: (cost, preference, step, tokens).  Of steps that yield
+        the same tokens the cheapest stands for all."""
         # tokens of a dictionary are no evidence against themselves and stay
         open_ = [i for i, t in enumerate(ts) if t.lower() not in self.known]
         joined = "\n".join(ts[i] for i in open_)
-        # a page was read in one codec: one that shows at least half of its odd characters
-        odd = {c for c in joined if c > "\x7f"}
-        readable = {w: 2 * len(odd & shown) >= len(odd) for w, shown in _SHOWN.items()}
-        found = []
+        # a token was read in a codec that shows all its characters; others were not read in that codec
+        odd = [{c for c in ts[i] if c > "\x7f"} for i in open_]
+        shown = {w: [c <= s for c in odd] for w, s in _SHOWN.items()}
+        found: dict[tuple, tuple] = {}
         for step, deep in _TRIALS:
-            if not readable[step[0]]:
+            can = shown[step[0]]
+            if not any(can):
                 continue
             if step[1] == "utf_8":
                 undone = []
-                for i in open_:
-                    u = undo(ts[i], step)
+                for i, c in zip(open_, can):
+                    u = undo(ts[i], step) if c else None
                     for _ in range((DEPTH - 1) * deep):
                         u = (u and undo(u, step)) or u
                     undone.append(u)
             else:
                 undone = joined.translate(_PAIRS[step]).split("\n")
             new, hits, changed, bad = list(ts), 0, 0, 0
-            for i, u in zip(open_, undone):
-                if u is None or u == ts[i]:
+            for i, c, u in zip(open_, can, undone):
+                if not c or u is None or u == ts[i]:
                     continue
-                if not self._possible(u):
+                if not self._possible(u, step[1] == "utf_8"):
                     bad += 1
                     continue
                 new[i] = u
                 changed += 1
                 e = u.strip(_SOFT_EDGE)
                 hits += e.lower() in self.known or e.isascii() or not any(map(str.isalpha, e))
-            if changed and (hits or step[1] == "utf_8"):
+            if changed:
                 # that so many sequences are well-formed UTF-8 by chance would take bits to say
-                cost = UTF8_COST * (1 + deep) - UTF8_CHANCE * changed if step[1] == "utf_8" else SINGLE_COST + EXCEPT_COST * bad
-                found.append((-hits, cost, step, new))
-                if hits == len(open_):
-                    break  # all explained; no later trial can do better
-        found.sort(key=lambda x: x[:2])
-        return [(cost, s, n) for _, cost, s, n in found[:BEAM]]
+                cost = UTF8_COST * (1 + deep) - UTF8_CHANCE * changed if step[1] == "utf_8" else SINGLE_COST + EXCEPT_COST * bad + UNSEEN_COST * (not hits)
+                key = tuple(new)
+                if key not in found or cost < found[key][0]:
+                    found[key] = (cost, HIT * hits, step, new)
+        return list(found.values())
 
     def decide(self, suspects: tuple[str, ...]) -> tuple[bool, dict[str, str]]:
         """(garbled, token -> restored token) for the unknown tokens of a page."""
@@ -268,8 +275,8 @@ class CharsetModel:
             if all(t.lower() in self.known for t in best):
                 break
             base = self.length(best)
-            scored = [(self.length(n) + cost, i, s, n) for i, (cost, s, n) in enumerate(self._candidates(best))]
-            if not scored or min(scored)[0] >= base:
+            scored = [(total - more, i, s, n) for i, (cost, more, s, n) in enumerate(self._candidates(best)) if (total := self.length(n) + cost) < base]
+            if not scored:
                 break
             _, _, step, best = min(scored)
             chain += (step,)
@@ -342,12 +349,14 @@ def fit(pages: list[tuple[str, str]]) -> CharsetModel:
     count: Counter = Counter()
     by: dict[str, Counter] = {}
     written: dict[str, str] = {}
+    plain: Counter = Counter()  # words of ASCII characters: what a garbled quote at a word leaves beside it
     for lang, text in pages:
         ts = set()
         for t in sorted(tokens(text)) if not text.isascii() else []:
             ts.add(low := t.lower())
             written.setdefault(low, t)
         count.update(ts)
+        plain.update({w for w in {t.strip(_ASCII_EDGE) for t in text.lower().split()} if w.isascii()})
         by.setdefault(lang, Counter()).update(ts)
     least = 2 if len(pages) < 20_000 else 3
     n_pages = Counter(lang for lang, _ in pages)
@@ -375,6 +384,7 @@ def fit(pages: list[tuple[str, str]]) -> CharsetModel:
                     better = bare.isascii() or count.get(bare.lower(), 0) > n
                 else:
                     better = sum(map(str.isalpha, u)) >= sum(map(str.isalpha, t)) and count.get(bare.lower(), 0) > n
+                    better |= bare != u and bare.isascii() and bare.isalpha() and plain[bare.lower()] > n and not _INSIDE.search(u)
                 if better:
                     ok = False
                     break

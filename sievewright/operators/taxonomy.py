@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright.session import broadcast_if_small
+
 SCHEMA = "id string, name string, tier int, parent string, aliases array<string>, hints string"
-#: Deepest tree that closure() follows.
-MAX_TIERS = 8
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -33,25 +35,38 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def problems(t: DataFrame) -> DataFrame:
-    """(problem) for duplicate ids, unknown parents and parents of the wrong tier."""
+    """(problem) for duplicate ids, unknown parents, parents of the wrong tier and cycles."""
     dup = t.groupBy("id").count().where("count > 1").select(F.format_string("duplicate id %s", "id").alias("problem"))
     p = t.select(F.col("id").alias("_pid"), F.col("tier").alias("_pt")).dropDuplicates(["_pid"])
     j = t.where("parent IS NOT NULL").join(p, F.col("parent") == F.col("_pid"), "left")
     lost = j.where("_pid IS NULL").select(F.format_string("unknown parent %s of %s", "parent", "id").alias("problem"))
     off = j.where("_pid IS NOT NULL AND _pt <> tier - 1").select(F.format_string("parent %s of %s is not one tier up", "parent", "id").alias("problem"))
-    return dup.unionByName(lost).unionByName(off)
+    loop = cycles(t).select(F.format_string("%s is its own ancestor", "id").alias("problem"))
+    return dup.unionByName(lost).unionByName(off).unionByName(loop)
 
 
 def closure(t: DataFrame) -> DataFrame:
-    """(id, ancestor, distance), every node its own ancestor at distance 0."""
-    t.createOrReplaceTempView("_sievewright_taxonomy")
-    return t.sparkSession.sql(f"""
+    """(id, ancestor, distance), every node its own ancestor at distance 0, however deep the tree.
+
+    A node on a cycle of parents meets its own ancestors once each: a walk ends where it comes back to
+    a node that it has seen, so a broken taxonomy ends too (cycles() names its nodes)."""
+    view = f"_taxonomy_{uuid.uuid4().hex}"
+    t.select("id", "parent").dropDuplicates(["id"]).createOrReplaceTempView(view)
+    up = t.sparkSession.sql(f"""
 WITH RECURSIVE up AS (
-  SELECT id, id AS ancestor, 0 AS distance FROM _sievewright_taxonomy
+  SELECT id, id AS ancestor, 0 AS distance, array(id) AS seen FROM {view}
   UNION ALL
-  SELECT u.id, p.parent AS ancestor, u.distance + 1 FROM up u JOIN _sievewright_taxonomy p ON p.id = u.ancestor
-  WHERE p.parent IS NOT NULL AND u.distance < {MAX_TIERS}
+  SELECT u.id, p.parent AS ancestor, u.distance + 1, array_append(u.seen, p.parent) FROM up u JOIN {view} p ON p.id = u.ancestor
+  WHERE p.parent IS NOT NULL AND NOT array_contains(u.seen, p.parent)
 ) SELECT id, ancestor, distance FROM up""")
+    t.sparkSession.catalog.dropTempView(view)
+    return up
+
+
+def cycles(t: DataFrame) -> DataFrame:
+    """(id) of nodes that are their own ancestors."""
+    edge = t.where("parent IS NOT NULL").select(F.col("parent").alias("id"), F.col("id").alias("ancestor"))
+    return closure(t).join(edge, ["id", "ancestor"]).select(F.col("ancestor").alias("id")).distinct()
 
 
 def children(t: DataFrame, parent: str) -> DataFrame:
@@ -61,7 +76,7 @@ def children(t: DataFrame, parent: str) -> DataFrame:
 def paths(t: DataFrame, max_tier: int | None = None) -> DataFrame:
     """(id, path, line): names from the root, and the line a prompt shows."""
     names = t.select(F.col("id").alias("ancestor"), F.col("name").alias("_name"))
-    up = closure(t).join(F.broadcast(names), "ancestor")
+    up = closure(t).join(broadcast_if_small(names), "ancestor")
     steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("_name").alias("n"))))  # as many as tiers
     p = up.groupBy("id").agg(F.array_join(F.transform(steps, lambda s: s["n"]), " > ").alias("path"))
     out = t.join(p, "id")
@@ -80,8 +95,8 @@ def validate_topics(verdicts: DataFrame, t: DataFrame, key: str, most: int = 3)
     one = t.where("tier = 1").select(F.col("id").alias("t1"), F.col("name").alias("n1"))
     below = closure(t).where("distance > 0").join(t.select("id", F.col("name").alias("n2")), "id").select(F.col("id").alias("t2"), F.col("ancestor").alias("a2"), "n2")
     x = verdicts.select(key, F.posexplode("topics").alias("pos", "x")).select(key, "pos", F.col("x.tier1_id").alias("t1"), F.col("x.tier2_id").alias("t2"), F.col("x.confidence").alias("c"))
-    x = x.join(F.broadcast(one), "t1")
-    b = F.broadcast(below.withColumnRenamed("t2", "b2"))
+    x = x.join(broadcast_if_small(one), "t1")
+    b = broadcast_if_small(below.withColumnRenamed("t2", "b2"))
     x = x.join(b, (F.col("t2") == F.col("b2")) & (F.col("t1") == F.col("a2")), "left")
     item = F.struct("pos", "t1", "n1", F.col("b2").alias("t2"), "n2", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c"))).alias("c"))
     kept = x.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("ts"))  # topics of one verdict

@@ -113,6 +113,7 @@ _PAIRS = _pairs()
 CHAINS = [(w, "utf_8") for w in READ] + list(_PAIRS)
 #: Steps to try, and whether a step is repeated while it can be.
 _TRIALS = [(s, deep) for s in CHAINS[: len(READ)] for deep in (False, True)] + [(s, False) for s in CHAINS[len(READ) :]]
+_BY_READ = {w: [(k, s, deep) for k, (s, deep) in enumerate(_TRIALS) if s[0] == w] for w in READ}
 
 
 def undo(token: str, step: tuple[str, str]) -> str | None:
@@ -190,9 +191,10 @@ class CharsetModel:
             d.precompute_compress(level=LEVEL)
             self.coders[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
             # a stretch of known tokens in front of what is measured takes the fixed costs of a frame
-            self.primer[lang] = " " + " ".join(ts[len(ts) // 3 :: max(1, len(ts) // 24)][:12]).translate(_SHORT) + " "
+            self.primer[lang] = (" " + " ".join(ts[len(ts) // 3 :: max(1, len(ts) // 24)][:12]).translate(_SHORT) + " ").encode("utf-8")
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-        self.floors: dict[str, int] = {}
+        self.floors = {g: len(c.compress(self.primer[g])) for g, c in self.coders.items()}
+        self.readings: dict[str, dict] = {}
         self.doubt: dict[str, str] = {}
         self.seen: dict[tuple, tuple] = {}
 
@@ -204,14 +206,10 @@ class CharsetModel:
 
     def length(self, ts: list[str]) -> int:
         """Least description length of the tokens over all languages, in bytes."""
-        data = " ".join(ts).lower().translate(_SHORT) + " "
-        return min((len(c.compress((self.primer[g] + data).encode("utf-8", "replace"))) - self.floor(g) for g, c in self.coders.items()), default=len(self.plain.compress(data.encode("utf-8", "replace"))))
-
-    def floor(self, lang: str) -> int:
-        """Length of the primer alone."""
-        if lang not in self.floors:
-            self.floors[lang] = len(self.coders[lang].compress(self.primer[lang].encode("utf-8")))
-        return self.floors[lang]
+        data = (" ".join(ts).lower().translate(_SHORT) + " ").encode("utf-8", "replace")
+        if not self.coders:
+            return len(self.plain.compress(data))
+        return max(0, min(len(c.compress(self.primer[g] + data)) - self.floors[g] for g, c in self.coders.items()))
 
     def _possible(self, u: str, formed: bool) -> bool:
         """No control characters (those of an inner step of a chain aside), no letters that no language
@@ -221,48 +219,73 @@ class CharsetModel:
             return False
         return formed or not _INSIDE.search(u)
 
+    def _readings(self, t: str) -> dict[int, tuple[str, bool] | None]:
+        """What a token may have been, by trial: (text, whether it is known), or None where the codec
+        shows the token but cannot have meant it."""
+        out = self.readings.get(t)
+        if out is None:
+            odd, out = {c for c in t if c > "\x7f"}, {}
+            for w, trials in _BY_READ.items():
+                if not odd <= _SHOWN[w]:
+                    continue  # a token was read in a codec that shows all its characters
+                for k, step, deep in trials:
+                    utf8 = step[1] == "utf_8"
+                    u = undo(t, step) if utf8 else t.translate(_PAIRS[step])
+                    for _ in range((DEPTH - 1) * deep):
+                        u = (u and undo(u, step)) or u
+                    if u is None or u == t:
+                        continue
+                    if not self._possible(u, utf8):
+                        out[k] = None
+                        continue
+                    e = u.strip(_SOFT_EDGE)
+                    out[k] = (u, e.lower() in self.known or e.isascii() or not any(map(str.isalpha, e)))
+            if len(self.readings) > 100_000:
+                self.readings.clear()
+            self.readings[t] = out
+        return out
+
     def _candidates(self, ts: list[str]) -> list[tuple[float, float, tuple, list[str]]]:
         """Every decoding of the tokens that some step yields: (cost, preference, step, tokens).  Of steps that yield
         the same tokens the cheapest stands for all."""
-        # tokens of a dictionary are no evidence against themselves and stay
-        open_ = [i for i, t in enumerate(ts) if t.lower() not in self.known]
-        joined = "\n".join(ts[i] for i in open_)
-        # a token was read in a codec that shows all its characters; others were not read in that codec
-        odd = [{c for c in ts[i] if c > "\x7f"} for i in open_]
-        shown = {w: [c <= s for c in odd] for w, s in _SHOWN.items()}
+        bad: Counter = Counter()
+        changes: dict[int, list[tuple[int, str]]] = {}
+        hits: Counter = Counter()
+        for i, t in enumerate(ts):
+            # tokens of a dictionary are no evidence against themselves and stay
+            if t.lower() not in self.known:
+                for k, r in self._readings(t).items():
+                    if r is None:
+                        bad[k] += 1
+                    else:
+                        changes.setdefault(k, []).append((i, r[0]))
+                        hits[k] += r[1]
         found: dict[tuple, tuple] = {}
-        for step, deep in _TRIALS:
-            can = shown[step[0]]
-            if not any(can):
-                continue
-            if step[1] == "utf_8":
-                undone = []
-                for i, c in zip(open_, can):
-                    u = undo(ts[i], step) if c else None
-                    for _ in range((DEPTH - 1) * deep):
-                        u = (u and undo(u, step)) or u
-                    undone.append(u)
-            else:
-                undone = joined.translate(_PAIRS[step]).split("\n")
-            new, hits, changed, bad = list(ts), 0, 0, 0
-            for i, c, u in zip(open_, can, undone):
-                if not c or u is None or u == ts[i]:
-                    continue
-                if not self._possible(u, step[1] == "utf_8"):
-                    bad += 1
-                    continue
+        for k in sorted(changes):
+            step, deep = _TRIALS[k]
+            new, n = list(ts), hits[k]
+            for i, u in changes[k]:
                 new[i] = u
-                changed += 1
-                e = u.strip(_SOFT_EDGE)
-                hits += e.lower() in self.known or e.isascii() or not any(map(str.isalpha, e))
-            if changed:
-                # that so many sequences are well-formed UTF-8 by chance would take bits to say
-                cost = UTF8_COST * (1 + deep) - UTF8_CHANCE * changed if step[1] == "utf_8" else SINGLE_COST + EXCEPT_COST * bad + UNSEEN_COST * (not hits)
-                key = tuple(new)
-                if key not in found or cost < found[key][0]:
-                    found[key] = (cost, HIT * hits, step, new)
+            # that so many sequences are well-formed UTF-8 by chance would take bits to say
+            cost = UTF8_COST * (1 + deep) - UTF8_CHANCE * len(changes[k]) if step[1] == "utf_8" else SINGLE_COST + EXCEPT_COST * bad[k] + UNSEEN_COST * (not n)
+            key = tuple(new)
+            if key not in found or cost < found[key][0]:
+                found[key] = (cost, HIT * n, step, new)
         return list(found.values())
 
+    def _shortest(self, ts: list[str]) -> tuple | None:
+        """(step, tokens) of the decoding that describes the tokens shortest, if shorter than they are.
+        A description has no negative length: once the cost alone of all that is left is more than the
+        best total, none of these can win, and they are not compressed."""
+        base = self.length(ts)
+        best: tuple | None = None
+        for bound, i, cost, more, step, new in sorted((cost - more, i, cost, more, s, n) for i, (cost, more, s, n) in enumerate(self._candidates(ts))):
+            if best is not None and bound > best[0]:
+                break
+            if cost < base and (total := self.length(new) + cost) < base and (best is None or (total - more, i) < best[:2]):
+                best = (total - more, i, step, new)
+        return best and best[2:]
+
     def decide(self, suspects: tuple[str, ...]) -> tuple[bool, dict[str, str]]:
         """(garbled, token -> restored token) for the unknown tokens of a page."""
         if suspects in self.seen:
@@ -274,11 +297,10 @@ class CharsetModel:
         for _ in range(DEPTH):
             if all(t.lower() in self.known for t in best):
                 break
-            base = self.length(best)
-            scored = [(total - more, i, s, n) for i, (cost, more, s, n) in enumerate(self._candidates(best)) if (total := self.length(n) + cost) < base]
-            if not scored:
+            found = self._shortest(best)
+            if not found:
                 break
-            _, _, step, best = min(scored)
+            step, best = found
             chain += (step,)
         new = {a: b for a, b in zip(origin, best) if a != b}
         for t in suspects if chain and lost else ():
@@ -344,51 +366,56 @@ class CharsetModel:
 
 
 def fit(pages: list[tuple[str, str]]) -> CharsetModel:
-    """Dictionaries from sampled (language label, text): frequent tokens, without those that some chain
-    turns into a more frequent one - these are garbled themselves."""
-    count: Counter = Counter()
-    by: dict[str, Counter] = {}
+    """Dictionaries from (language label, text) of a few texts."""
+    by: Counter = Counter()
     written: dict[str, str] = {}
-    plain: Counter = Counter()  # words of ASCII characters: what a garbled quote at a word leaves beside it
+    plain: Counter = Counter()
     for lang, text in pages:
-        ts = set()
         for t in sorted(tokens(text)) if not text.isascii() else []:
-            ts.add(low := t.lower())
-            written.setdefault(low, t)
-        count.update(ts)
+            by[lang, t.lower()] += 1
+            written.setdefault(t.lower(), t)
         plain.update({w for w in {t.strip(_ASCII_EDGE) for t in text.lower().split()} if w.isascii()})
-        by.setdefault(lang, Counter()).update(ts)
-    least = 2 if len(pages) < 20_000 else 3
-    n_pages = Counter(lang for lang, _ in pages)
+    return fit_counts([(lang, t, written[t], n) for (lang, t), n in by.items()], plain, Counter(lang for lang, _ in pages), 2)
+
+
+def fit_counts(counted: list[tuple[str, str, str, int]], plain: dict[str, int], pages_of: dict[str, int], least: int) -> CharsetModel:
+    """Dictionaries from the corpus' counts: (language label, token, a written form, pages), the pages of
+    ASCII words (what a garbled quote at a word leaves beside it), the pages of a language, and the least
+    pages of a token.  Frequent tokens, without those that some chain turns into a more frequent one:
+    these are garbled themselves."""
+    count: Counter = Counter()
+    by: dict[str, Counter] = {}
+    written: dict[str, str] = {}
+    for lang, t, form, n in counted:
+        count[t] += n
+        by.setdefault(lang, Counter())[t] += n
+        written[t] = min(form, written.get(t, form))
     clean: dict[str, bool] = {}
     for t, n in count.items():
-        if n < least or "�" in t or any("\x80" <= c < "\xa0" for c in t):
+        if n < least or "\ufffd" in t or any("\x80" <= c < "\xa0" for c in t):
             clean[t] = False
             continue
         # common in a language: sound, whatever it could be read as elsewhere
-        if any(c[t] >= max(least, COMMON * n_pages[g]) for g, c in by.items()):
+        if any(c[t] >= max(least, COMMON * pages_of.get(g, 0)) for g, c in by.items()):
             clean[t] = True
             continue
-        ok = True
-        for form in {t, written[t], t.swapcase()}:
-            for step in CHAINS:
-                if len(t) < 3 and step[1] != "utf_8":
-                    continue
-                u = undo(form, step)
-                if u and step[1] == "utf_8":
-                    u = undo(u, step) or u
-                if not u:
-                    continue
-                bare = u.strip(_SOFT_EDGE)
-                if step[1] == "utf_8":
-                    better = bare.isascii() or count.get(bare.lower(), 0) > n
-                else:
-                    better = sum(map(str.isalpha, u)) >= sum(map(str.isalpha, t)) and count.get(bare.lower(), 0) > n
-                    better |= bare != u and bare.isascii() and bare.isalpha() and plain[bare.lower()] > n and not _INSIDE.search(u)
-                if better:
-                    ok = False
-                    break
-            if not ok:
-                break
-        clean[t] = ok
-    return CharsetModel({lang: [t for t, _ in c.most_common() if clean[t]][:DICT_TOKENS] for lang, c in by.items()})
+        clean[t] = not any(_better(t, form, step, n, count, plain) for form in {t, written[t], t.swapcase()} for step in CHAINS)
+    return CharsetModel({lang: [t for t, _ in sorted(c.items(), key=lambda x: (-x[1], x[0])) if clean[t]][:DICT_TOKENS] for lang, c in by.items()})
+
+
+def _better(t: str, form: str, step: tuple[str, str], n: int, count: Counter, plain: dict[str, int]) -> bool:
+    """Does the step turn a token of n pages into a more frequent one?"""
+    utf8 = step[1] == "utf_8"
+    if len(t) < 3 and not utf8:
+        return False
+    u = undo(form, step)
+    if u and utf8:
+        u = undo(u, step) or u
+    if not u:
+        return False
+    bare = u.strip(_SOFT_EDGE)
+    if utf8:
+        return bare.isascii() or count.get(bare.lower(), 0) > n
+    if sum(map(str.isalpha, u)) >= sum(map(str.isalpha, t)) and count.get(bare.lower(), 0) > n:
+        return True
+    return bare != u and bare.isascii() and bare.isalpha() and plain.get(bare.lower(), 0) > n and not _INSIDE.search(u)

@@ -4,40 +4,66 @@ The labelled text of all languages goes into one suffix automaton whose states k
 long a suffix of the matched string occurs in that language's text - the same longest-match lengths
 that one automaton per language would yield, for one pass over the characters.  A segment is parsed
 from its end into the fewest phrases that occur in a language (longest matches are optimal there, as
-every piece of a phrase is a phrase too); phrases per character decide, and the margin between the best
-two languages gives the confidence.  All segments of a batch advance together in numpy.
+every piece of a phrase is a phrase too); phrases per letter decide.  The margin between the best two
+languages, times the root of the letters, is the evidence; how often it is right is learnt from labelled
+sentences outside the automaton, which makes the confidence a probability.
+
+Any number of languages, letters and scripts: frequent letters have complete transition tables, in which
+all segments of a batch advance together in numpy, as many as fit into ``DENSE_CELLS``; the others are
+looked up among the automaton's edges.
 """
 
 from __future__ import annotations
 
-import re
+import random
 from collections import Counter
 
 import numpy as np
+import regex
 
-#: Characters of labelled text per language in the automaton; longest match that is told apart.
-TRAIN_CHARS, LONGEST = 18_000, 40
+#: Characters of labelled text per language in the automaton.
+TRAIN_CHARS = 18_000
 #: Labelled sentences per language that training text is chosen from.
 TRAIN_SENTENCES = 4_000
 #: Longest sentence to train on; longer ones are hardly sentences, and links of the automaton would be as deep.
 TRAIN_LONGEST = 400
+#: Labelled sentences outside the automaton that the confidence is calibrated on, at most.
+HELD_OUT = 3_000
+#: Cells of the complete transition table of a worker (6 bytes each).
+DENSE_CELLS = 40_000_000
 #: Characters that a segment advances by at once.
 PIECE = 200
-#: A segment shorter than this many letters takes the language of its neighbours.
-LEAST_LETTERS = 12
-#: Confidence from which a segment keeps its language against the page's and its neighbours'.
-SURE = 0.93
+#: A segment shorter than this many letters takes the language of its neighbours; letters of scripts
+#: that write words or syllables with one count for WIDE.
+LEAST_LETTERS, WIDE = 12, 4
+#: Evidence from which a segment keeps its language against the page's and its neighbours'.
+SURE = 0.647
+#: Slope of the confidence where there is nothing to calibrate on.
+SLOPE = 4.0
 #: Segments of a language that make it a language of the page.
 LEAST_SENTENCES = 3
 
-_CLEAN = re.compile(r"[\W\d_]+")
+_CLEAN = regex.compile(r"[^\p{L}\p{M}]+")
+_FIRST_WIDE = 0x2E80
 
 
 def plain(s: str) -> str:
-    """Lower-case letters, everything else one blank, a blank at both ends."""
+    """Lower-case letters and their marks, everything else one blank, a blank at both ends."""
     return " " + _CLEAN.sub(" ", s.lower()).strip() + " "
 
 
+def units(s: str) -> set[str]:
+    """What a plain sentence consists of: its words; of scripts that put no blanks between words, the
+    pairs of characters."""
+    out = set()
+    for w in s.split():
+        if w[0] >= "\u0e00":
+            out.update(w[i : i + 2] for i in range(max(1, len(w) - 1)))
+        else:
+            out.add(w)
+    return out
+
+
 class LanguageModel:
     """The automaton of the languages' training texts: states and edges as built here, the complete
     transition table as each worker expands it."""
@@ -45,29 +71,29 @@ class LanguageModel:
     def __init__(self, texts: dict[str, list[str]]):
         self.texts = {k: texts[k] for k in sorted(texts)}
         self.langs = list(self.texts)
+        self.slope = SLOPE
         self._build()
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("langs", "code", "link", "length", "owner", "edges")}
+        return {k: getattr(self, k) for k in ("langs", "code", "link", "length", "owner", "edges", "slope")}
 
     def _build(self):
         alphabet = Counter()
         for ss in self.texts.values():
             for s in ss:
                 alphabet.update(s)
-        self.code = {c: i + 1 for i, (c, _) in enumerate(alphabet.most_common(254))}
-        width = len(self.code) + 1
+        # frequent letters first; 0 is a letter that no training text has
+        self.code = {c: i + 1 for i, (c, _) in enumerate(sorted(alphabet.items(), key=lambda x: (-x[1], x[0])))}
         # suffix automaton of all sentences; every sentence restarts at the root
         nxt: list[dict[int, int]] = [{}]
         link, length = [-1], [0]
-        n_lang = len(self.langs)
-        owner = [0]  # bit set of languages that end here
+        owner = [0]  # bit set of languages that end here, a number of any size
         for k, lang in enumerate(self.langs):
             bit = 1 << k
             for s in self.texts[lang]:
                 last = 0
                 for ch in s:
-                    c = self.code[ch] if ch in self.code else 0
+                    c = self.code[ch]
                     q = nxt[last].get(c)
                     if q is not None:
                         if length[q] == length[last] + 1:
@@ -105,17 +131,21 @@ class LanguageModel:
         order = sorted(range(n), key=length.__getitem__)
         for v in reversed(order[1:]):
             owner[link[v]] |= owner[v]
-        self.link, self.length, self.owner = (np.array(x, np.int32) for x in (link, length, owner))
+        self.link, self.length = np.array(link, np.int32), np.array(length, np.int32)
+        n_bytes = -(-max(1, len(self.langs)) // 8)
+        self.owner = np.frombuffer(b"".join(v.to_bytes(n_bytes, "little") for v in owner), np.uint8).reshape(n, n_bytes)
         sizes = np.fromiter(map(len, nxt), np.int64, n)
         self.edges = (
             np.repeat(np.arange(n, dtype=np.int32), sizes),
-            np.fromiter((c for e in nxt for c in e), np.uint8, int(sizes.sum())),
+            np.fromiter((c for e in nxt for c in e), np.int32, int(sizes.sum())),
             np.fromiter((t for e in nxt for t in e.values()), np.int32, int(sizes.sum())),
         )
 
     def _expand(self):
-        link, length, owner = self.link, self.length, self.owner
-        n, n_lang, width = len(link), len(self.langs), len(self.code) + 1
+        link, length = self.link, self.length
+        n, n_lang = len(link), len(self.langs)
+        width = self.width = int(max(2, min(len(self.code) + 1, DENSE_CELLS // n)))  # codes below it are dense
+        own = np.uint16(0xFFFF)  # the match grows by one
         # depth in the tree of links; parents come before children
         level, up = np.zeros(n, np.int32), link.copy()
         while (up >= 0).any():
@@ -124,32 +154,55 @@ class LanguageModel:
         by_level = np.argsort(level, kind="stable")
         bounds = np.searchsorted(level[by_level], np.arange(level.max() + 2))
         target = np.zeros((n, width), np.int32)
-        base = np.zeros((n, width), np.uint8)
-        best = np.zeros((n, n_lang), np.uint8)
+        base = np.zeros((n, width), np.uint16)
+        best = np.zeros((n, n_lang), np.uint16)
         src, char, dst = self.edges
+        rare = char >= width
+        keys = src[rare].astype(np.int64) << 21 | char[rare]
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_dst = keys[order], dst[rare][order]
+        src, char, dst = src[~rare], char[~rare], dst[~rare]
         e_order = np.argsort(level[src], kind="stable")
         src, char, dst = src[e_order], char[e_order].astype(np.int64), dst[e_order]
         e_bounds = np.searchsorted(level[src], np.arange(level.max() + 2))
-        bits = (owner[:, None] >> np.arange(n_lang)) & 1
+        bits = np.unpackbits(self.owner, axis=1, count=max(1, n_lang), bitorder="little")[:, :n_lang]
         for k in range(len(bounds) - 1):
             g, e = by_level[bounds[k] : bounds[k + 1]], slice(e_bounds[k], e_bounds[k + 1])
             if k:
                 # what the link's state does, with the match length that the link leaves
-                left = np.minimum(length[link[g]] + 1, 250).astype(np.uint8)[:, None]
+                left = (length[link[g]] + 1).astype(np.uint16)[:, None]
                 target[g], b = target[link[g]], base[link[g]]
-                base[g] = np.where(b == 255, left, b)
+                base[g] = np.where(b == own, left, b)
                 above = best[link[g]]
-                best[g] = np.where(bits[g] > 0, 255, np.where(above == 255, left - 1, above))
-            target[src[e], char[e]], base[src[e], char[e]] = dst[e], 255  # 255: the match grows by one
-        self.target, self.base, self.best, self.width = target.ravel(), base.ravel(), best, width
-        self.codes = np.zeros(0x10000, np.uint8)
+                best[g] = np.where(bits[g] > 0, own, np.where(above == own, left - 1, above))
+            target[src[e], char[e]], base[src[e], char[e]] = dst[e], own
+        self.target, self.base, self.best = target.ravel(), base.ravel(), best
         blank = self.code.get(" ", 0)
-        for c in range(0x10000):
-            if not chr(c).isalpha():
-                self.codes[c] = blank
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        self.codes = np.full(0x110000, blank, np.int32)
+        for m in regex.finditer(r"[\p{L}\p{M}]+", every):
+            a, b = ord(every[m.start()]), ord(every[m.end() - 1]) + 1
+            self.codes[a:b] = 0
+        self.codes[0xD800:0xE000] = blank
         for c, i in self.code.items():
-            if ord(c) < 0x10000:
-                self.codes[ord(c)] = i
+            self.codes[ord(c)] = i
+
+    def _rare(self, state: np.ndarray, length: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The step of letters without a table: the longest suffix of the match that the letter continues."""
+        at, grown = state.copy(), np.zeros(len(state), bool)
+        have = length.copy()
+        new = np.zeros(len(state), np.int64)
+        open_ = np.arange(len(state))
+        while len(open_):
+            key = at[open_] << 21 | code[open_]
+            i = np.minimum(np.searchsorted(self.rare_keys, key), max(0, len(self.rare_keys) - 1))
+            hit = self.rare_keys[i] == key if len(self.rare_keys) else np.zeros(len(open_), bool)
+            new[open_[hit]], grown[open_[hit]] = self.rare_dst[i[hit]], True
+            open_ = open_[~hit]
+            at[open_] = self.link[at[open_]]
+            open_ = open_[at[open_] >= 0]
+            have[open_] = np.minimum(have[open_], self.length[at[open_]])
+        return new, np.where(grown, have + 1, 0)
 
     def phrases(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases per language, letters) of each segment (without line ends)."""
@@ -171,7 +224,7 @@ class LanguageModel:
         n, n_lang = len(segs), len(self.langs)
         # letters as codes, everything else one blank, a blank at both ends of a segment
         chars = np.frombuffer(("\n" + "\n\n".join(segs) + "\n").lower().encode("utf-32-le", "replace"), np.uint32)
-        raw = self.codes[np.minimum(chars, 0xFFFF)]
+        raw = self.codes[chars]
         end = chars == 10
         blank = self.code.get(" ", 0)
         void = (raw == blank) & ~end
@@ -183,6 +236,7 @@ class LanguageModel:
         start, stop = at[0::2], at[1::2]
         sizes = stop - start + 1
         letters = np.add.reduceat((codes != blank).astype(np.int64), start) if n else np.zeros(0, np.int64)
+        has_rare = int(codes.max(initial=0)) >= self.width
         # long segments advance in pieces; a cut costs one phrase in every language alike
         pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(n), pieces)
@@ -194,17 +248,20 @@ class LanguageModel:
         n_seg, n = n, len(order)
         longest = int(sizes[0]) if n else 0
         state, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        states, lengths = np.zeros(len(codes), np.int32), np.zeros(len(codes), np.uint8)
+        states, lengths = np.zeros(len(codes), np.int32), np.zeros(len(codes), np.uint16)
         live = n
         for t in range(longest):
             live = int(np.searchsorted(-sizes[:live], -t, side="left"))
             at = start[:live] + t
-            cell = state[:live] * self.width + codes[at]
-            b = self.base[cell]
-            state[:live] = self.target[cell]
-            length[:live] = np.where(b == 255, length[:live] + 1, np.minimum(b, length[:live] + 1))
-            states[at] = state[:live]
-            lengths[at] = np.minimum(length[:live], LONGEST)
+            code = codes[at]
+            dense = np.minimum(code, self.width - 1) if has_rare else code
+            cell = state[:live] * self.width + dense
+            b = self.base[cell].astype(np.int64)
+            new, size = self.target[cell].astype(np.int64), np.where(b == 0xFFFF, length[:live] + 1, np.minimum(b, length[:live] + 1))
+            if has_rare and len(r := np.flatnonzero(code >= self.width)):
+                new[r], size[r] = self._rare(state[r], length[r], code[r])
+            state[:live], length[:live] = new, size
+            states[at], lengths[at] = new, size
         match = np.minimum(self.best[states], lengths[:, None])
         np.maximum(match, 1, out=match)
         # parse from the end: the longest match that ends here, then the one that ends before it
@@ -222,8 +279,8 @@ class LanguageModel:
         count = count.reshape(n, n_lang)
         return np.stack([np.bincount(owner, weights=count[:, k], minlength=n_seg) for k in range(n_lang)], 1), letters
 
-    def classify(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language index or -1, confidence, letters) of each segment."""
+    def evidence(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language index or -1, evidence, letters) of each segment."""
         if not segments or not self.langs:
             return np.full(len(segments), -1), np.zeros(len(segments)), np.zeros(len(segments), np.int64)
         ph, letters = self.phrases(segments)
@@ -233,8 +290,29 @@ class LanguageModel:
         rate[np.arange(len(rate)), best] = np.inf
         margin = (rate.min(1) - top) if len(self.langs) > 1 else np.ones(len(top))
         margin = np.where(np.isfinite(margin), margin, 1.0)
-        conf = 1 / (1 + np.exp(-margin * np.sqrt(np.maximum(letters, 1)) * 4.0))
-        return np.where(letters >= 1, best, -1), conf, letters
+        return np.where(letters >= 1, best, -1), margin * np.sqrt(np.maximum(letters, 1)), letters
+
+    def confidence(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.minimum(evidence * self.slope, 50.0)))
+
+    def classify(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language index or -1, confidence, letters) of each segment."""
+        lang, evidence, letters = self.evidence(segments)
+        return lang, self.confidence(evidence), letters
+
+    def calibrate(self, sentences: list[tuple[str, str]]) -> dict:
+        """The slope that makes labelled sentences most likely; returns what the confidence says and what
+        is true.  Half of the sentences are cut to two or three words, as short segments are where it errs."""
+        rng = random.Random(11)
+        cases = [(k, " ".join(w[: rng.randint(2, 3)]) if i % 2 and len(w := s.split()) > 3 else s) for i, (k, s) in enumerate(sentences) if k in self.texts]
+        if len(cases) < 50:
+            return {"sentences": len(cases)}
+        got, x, _ = self.evidence([s for _, s in cases])
+        right = np.array([self.langs[g] == k if g >= 0 else False for g, (k, _) in zip(got, cases)])
+        grid = np.geomspace(0.5, 40.0, 80)
+        cost = [np.where(right, np.logaddexp(0, -g * x), np.logaddexp(0, g * x)).sum() for g in grid]
+        self.slope = float(grid[int(np.argmin(cost))])
+        return {"sentences": len(cases), "accuracy": float(right.mean()), "mean_confidence": float(self.confidence(x).mean()), "slope": self.slope}
 
 
 def fit(pages: list[tuple[str, list[str]]], rounds: int = 2) -> LanguageModel:
@@ -243,11 +321,11 @@ def fit(pages: list[tuple[str, list[str]]], rounds: int = 2) -> LanguageModel:
     rows, have = [], Counter()
     for lang, segs in pages:
         if have[lang] < TRAIN_SENTENCES:
-            new = [(lang, plain(s)) for s in segs if 25 <= len(s) <= TRAIN_LONGEST]
+            new = [(lang, plain(s)) for s in segs if (25 if s[0] < "\u2e80" else 8) <= len(s) <= TRAIN_LONGEST]
             rows += new
             have[lang] += len(new)
     times = Counter(rows)
-    words = [(lang, s, set(s.split())) for lang, s in times]
+    words = [(lang, s, units(s)) for lang, s in times]
     langs = [k for k, v in Counter(r[0] for r in rows).items() if v >= 5]
     keep = [True] * len(words)
     for _ in range(rounds):
@@ -283,7 +361,10 @@ def fit(pages: list[tuple[str, list[str]]], rounds: int = 2) -> LanguageModel:
                     size[lang] += len(s)
                     seen |= fresh
                     taken.add(i)
-    return LanguageModel(texts)
+    model = LanguageModel(texts)
+    rest = sorted((lang, s) for i, (ok, (lang, s, _)) in enumerate(zip(keep, words)) if ok and lang in langs and i not in taken)
+    model.report = model.calibrate(random.Random(3).sample(rest, min(HELD_OUT, len(rest))))
+    return model
 
 
 def page_languages(model: LanguageModel, parts: list[list[str]]) -> list[dict]:
@@ -291,8 +372,12 @@ def page_languages(model: LanguageModel, parts: list[list[str]]) -> list[dict]:
     confidence (index arrays).
 
     A segment of few letters, or one that hardly prefers a language, goes with its neighbours."""
-    lang, conf, letters = model.classify([s for p in parts for s in p])
-    strong, sure = letters >= LEAST_LETTERS, (letters >= LEAST_LETTERS) & (conf >= SURE)
+    segs = [s for p in parts for s in p]
+    lang, evidence, letters = model.evidence(segs)
+    conf = model.confidence(evidence)
+    wide = np.fromiter((len(s) < LEAST_LETTERS * 2 and sum(c >= chr(_FIRST_WIDE) and c.isalpha() for c in s) for s in segs), np.int64, len(segs))
+    strong = letters + (WIDE - 1) * wide >= LEAST_LETTERS
+    sure = strong & (evidence >= SURE)
     names = model.langs
     out, at = [], 0
     for p in parts:

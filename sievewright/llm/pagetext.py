@@ -25,8 +25,15 @@ _FOOT = re.compile(
     r"|(?:(?:cookies|rss|imprint|privacy|terms|impressum)\s*[|·�?]\s*){1,3}[^\s|·]{1,40}|↑ top)\s*$",
     re.I,
 )
-_END = re.compile(r"[.!?…][\"”»’“)\]]*[ \t\xa0]+|[\n\r]+")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s\x00]+|_+|\x00")
+_END = re.compile(r"[.!?…][\"”»’“)\]]*[ \t\xa0]+|[。！？।]+[」』”）]*|[\n\r]+")
+#: Scripts that put no blanks between words: their runs are taken in pieces, of two characters where a
+#: character is a syllable or word, of four where it is a letter; a keyword that comes again gives the same pieces.
+_SYLLABLES, _UNSPACED = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff", "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+#: Scripts whose words hold marks that are no letters by themselves.
+_MARKED = "\u0900-\u0963\u0966-\u0dff"
+_TOKEN = re.compile(rf"[{_MARKED}]+|[{_SYLLABLES}]{{1,2}}|[{_UNSPACED}]{{1,4}}|[^\W\d_{_SYLLABLES}{_UNSPACED}{_MARKED}]+|\d+|[^\w\s\x00{_UNSPACED}{_MARKED}]+|_+|\x00")
+IS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+IS_WIDE = re.compile(f"[{_SYLLABLES}{_UNSPACED}]")
 
 
 def body(text: str) -> str:

@@ -17,7 +17,8 @@ import zlib
 
 import numpy as np
 
-from sievewright.llm.pagetext import Attributes, Batch, Vocabulary, sums
+from sievewright.llm.counts import KNOWN_BITS
+from sievewright.llm.pagetext import IS_WIDE, Attributes, Batch, Vocabulary, sums
 
 BITS = 17
 SIZE = 1 << BITS
@@ -64,43 +65,122 @@ loading…|loading\.\.\.|bezig met laden|wird geladen|chargement|cargando|carica
 
 
 _LATIN = ["dolor", "amet", "sapien", "vitae", "tempor", "velit", "mauris", "augue", "felis", "porta"]
-#: Stems without which no phrase can match.
-_STEMS = """dummy filler placeholder blah text test ipsum edit paragraph words here box done missing supplied klicken clic clique fare klik нажмите
-wört palabras mots palav parole woorden słów слов blind platz steht relleno ajoutez segnaposto riempire voorbeeld opvul exemplo przykład заполнитель рыба
-found gefunden introuvable encontrada trovata gevonden znaleziono найден error fehler erreur errore erro fout błąd ошибка 40 50 gateway unavailable server requests
-denied forbidden timed refused upstream sqlstate traceback exception nullpointer fatal uncaught undefined headers deprecated stack database longer exist offline session
-removed abgelaufen verfügbar vorhanden plus disponible stato beschikbaar disponível jest больше удалена mainten wartung manten manuten onderhoud konserwacj технически
-zastępczy próbny puste пробный занимает vult preenchimento fictício ocupa occupa prova spiacenti esiste désolé lamentamos przepraszamy сожалению helaas istnieje bestaat существует sentido texto vrai remplissage pas pudo pruebe caducado eliminado può riprov kon probeer pôde tente mogła spróbuj повторите konnte versuchen could again
-sentimos script skript скрипт cookie browser loading laden chargement cargando caricamento carreg ładowanie загрузка add put paste upload insert type""".split()
+_MAY_HOLD_SLOT = re.compile(r"[{%@$<&\[_#«(]")
+
+
+def _depths(pattern: str) -> list[int]:
+    """How many groups are open behind each character; escaped characters open none."""
+    out, depth, escaped = [], 0, False
+    for c in pattern:
+        if not escaped:
+            depth += (c == "(") - (c == ")")
+        escaped = c == "\\" and not escaped
+        out.append(depth)
+    return out
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, a group that one starts with taken apart."""
+    depths, at, out = _depths(pattern), 0, []
+    for i, (c, d) in enumerate(zip(pattern + "|", depths + [0])):
+        if c == "|" and not d:
+            out.append(pattern[at:i])
+            at = i + 1
+    parted = []
+    for x in out:
+        head = 1 if x.startswith("^") else 0
+        end = next((i for i, d in enumerate(_depths(x)) if i > head and not d), len(x)) if x.startswith("(?:", head) else None
+        if end is None or x[end + 1 : end + 2] == "?":
+            parted.append(x)
+        else:
+            parted += [x[:head] + y + x[end + 1 :] for y in _alternatives(x[head + 3 : end])]
+    return parted
+
+
+def _literal(pattern: str) -> str:
+    """The longest text that every match of the pattern holds."""
+    from re import _parser
+
+    runs = [""]
+    for op, value in _parser.parse(pattern):
+        if str(op) == "LITERAL":
+            runs[-1] += chr(value)
+        else:
+            runs.append("")
+    return max(runs, key=len)
+
+
+class _Phrases:
+    """The phrases behind an automaton of the texts that they must hold: few of them are tried on a segment."""
+
+    def __init__(self):
+        import ahocorasick
+
+        by: dict[str, list[str]] = {}
+        for x in _alternatives(_PHRASES.pattern):
+            by.setdefault(_literal(x), []).append(x)
+        self.always = [re.compile(x) for x in by.pop("", [])]
+        self.automaton = ahocorasick.Automaton()
+        for text, xs in by.items():
+            self.automaton.add_word(text, re.compile("|".join(xs)))
+        for text in _LATIN:
+            if text not in by:
+                self.automaton.add_word(text, None)
+        self.automaton.make_automaton()
+
+    def __call__(self, s: str) -> tuple[bool, bool]:
+        """(a phrase is there, a word of Latin filler may be)."""
+        low, latin, tried = s.lower(), False, set()
+        for _, p in self.automaton.iter(low):
+            if p is None:
+                latin = True
+            elif p not in tried:
+                tried.add(p)
+                if p.search(low):
+                    return True, True
+        return any(p.search(low) for p in self.always), latin
+
+
+_phrases: list[_Phrases] = []
 
 
 def phrase_share(parts: list[str]) -> float:
     """Share of the characters in segments that the phrases mark: a weak label, never the result."""
+    if not _phrases:
+        _phrases.append(_Phrases())
+    look = _phrases[0]
     total = marked = 0
     for s in parts:
-        total += len(s)
-        slots = sum(m.end() - m.start() for m in _SLOT.finditer(s)) if any(c in s for c in "{%@$<&[_#«(") else 0
-        if slots * 4 > len(s) or _UNSET.match(s) or _KEY.match(s) or (any(map(s.lower().__contains__, _LATIN)) and len(_LOREM.findall(s)) >= 4) or (len(s) < 160 and any(map(s.lower().__contains__, _STEMS)) and _PHRASES.search(s)):
-            marked += len(s)
+        n = len(s)
+        total += n
+        slots = sum(m.end() - m.start() for m in _SLOT.finditer(s)) if _MAY_HOLD_SLOT.search(s) else 0
+        if slots * 4 > n or (":" in s and _UNSET.match(s)) or (" " not in s and _KEY.match(s)):
+            marked += n
+            continue
+        said, latin = look(s) if n < 160 else (False, True)
+        if said or (latin and len(_LOREM.findall(s)) >= 4):
+            marked += n
     return marked / total if total else 0.0
 
 
-KNOWN_BITS = 20
+def _hash(token: str) -> int:
+    return zlib.crc32(b"0" if token.isdigit() else token.encode("utf-8", "replace"))
 
 
-def _hash(token: str) -> int:
-    return zlib.crc32("0".encode() if token.isdigit() else token.encode("utf-8", "replace"))
+def _is_word(token: str) -> bool:
+    """Words of scripts that part them by blanks; pieces of others are known or not by chance."""
+    return token.isalpha() and not IS_WIDE.match(token)
 
 
 class Features:
     """Hashed features of every segment of a batch, as flat arrays (feature, segment).
 
-    ``known`` marks the hashes of words that more than one sampled page has: keyboard filler consists
-    of words that no other page has."""
+    ``known`` marks the hashes of the corpus' known words: keyboard filler consists of words that hardly
+    any other page has."""
 
     def __init__(self, known: np.ndarray):
         self.hashes = Attributes(_hash, np.uint64)
-        self.words = Attributes(str.isalpha, bool)
+        self.words = Attributes(_is_word, bool)
         self.known = known
 
     def __call__(self, b: Batch, titles: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,70 +271,84 @@ def _logistic(feat, where, scale, y, weight, n) -> tuple[np.ndarray, float]:
     return w, bias
 
 
-def _known_words(vocab: Vocabulary, b: Batch) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words that at least two pages have, and each page's share of words that none else has
-    (0 for pages of fewer than eight words)."""
-    word = Attributes(str.isalpha, bool).over(vocab)[b.ids]
+def _unknown_share(vocab: Vocabulary, b: Batch, known: np.ndarray) -> np.ndarray:
+    """Each page's share of words that are not known (0 for pages of fewer than eight words)."""
+    word = Attributes(_is_word, bool).over(vocab)[b.ids]
     page = b.seg_page[b.token_seg]
     pair = np.unique(b.ids[word] * np.int64(1 << 31) + page[word])
     ids, at = pair >> 31, pair & ((1 << 31) - 1)
-    df = np.bincount(ids, minlength=len(vocab.tokens))
-    known = np.zeros(1 << KNOWN_BITS, bool)
-    h = Attributes(_hash, np.uint64).over(vocab)[: len(df)][df[: len(vocab.tokens)] > 1]
-    known[(h & np.uint64((1 << KNOWN_BITS) - 1)).astype(np.int64)] = True
+    strange = ~known[(Attributes(_hash, np.uint64).over(vocab) & np.uint64((1 << KNOWN_BITS) - 1)).astype(np.int64)]
     n = np.bincount(at, minlength=b.n_pages)
-    return known, np.where(n >= 8, np.bincount(at, weights=df[ids] < 2, minlength=b.n_pages) / np.maximum(n, 1), 0.0)
-
-
-def fit(pages: list[dict], seed: int = 5) -> tuple[ResidueModel, dict]:
-    """Fit on sampled pages (dicts with parts, title, host, soft_404, js_only, stuffed); returns the
-    model and its agreement with the weak labels on hosts it has not seen.
+    return np.where(n >= 8, np.bincount(at, weights=strange[ids], minlength=b.n_pages) / np.maximum(n, 1), 0.0)
+
+
+class _Training:
+    """The sampled pages with their features and weak labels; fits the shipped model and the one that is
+    validated by the same steps."""
+
+    def __init__(self, pages: list[dict], known: np.ndarray, seed: int):
+        self.seed, self.known = seed, known
+        self.pages = pages = [p for p in pages if p["parts"]]
+        self.share = share = np.array([phrase_share(p["parts"]) for p in pages]) if pages else np.zeros(0)
+        flagged = np.array([bool(p.get("soft_404")) or bool(p.get("js_only")) for p in pages], bool)
+        self.stuffed = np.array([bool(p.get("stuffed")) for p in pages], bool) & (share < 0.1)
+        self.vocab = Vocabulary()
+        self.titles = [p["title"] for p in pages]
+        self.batch = Batch(self.vocab, [None] * len(pages), [p["parts"] for p in pages])
+        mash = _unknown_share(self.vocab, self.batch, known)
+        tags = np.array([sum(x.count("#") for x in p["parts"]) * 12 > sum(map(len, p["parts"])) / 4 for p in pages], bool)
+        self.mash = np.where(tags, 0.0, mash)  # tags run together are words of their own too
+        self.label = np.where((share > 0.5) | (self.mash > 0.6), 1, np.where((share < 0.2) & ~(flagged & (share > 0)), 0, -1))
+        self.label[self.stuffed & (self.mash <= 0.6)] = 0
+        self.held = np.array([zlib.crc32((p.get("host") or "").encode()) % 5 == 0 for p in pages], bool)
+
+    def fit(self, use: np.ndarray) -> ResidueModel | None:
+        """Three rounds on the pages marked in ``use``; each relabels by the scores of the one before."""
+        rng, label, model = np.random.default_rng(self.seed), self.label.copy(), None
+        features = Features(self.known)
+        for _ in range(3):
+            pos, neg = np.flatnonzero((label == 1) & use), np.flatnonzero((label == 0) & use)
+            if not len(pos) or not len(neg):
+                break
+            # negatives: lists and stuffed pages all, prose as many as it takes
+            spam = neg[self.stuffed[neg]]
+            neg = np.concatenate([spam, rng.permutation(neg[~self.stuffed[neg]])[: max(600, 3 * len(pos))]])
+            chosen = [self.pages[i] for i in np.concatenate([pos, neg])]
+            b = Batch(self.vocab, [None] * len(chosen), [p["parts"] for p in chosen])
+            n = len(b.seg_chars)
+            y = np.repeat(np.concatenate([np.ones(len(pos)), np.zeros(len(neg))]), [len(p["parts"]) for p in chosen])
+            feat, where, scale = features(b, [p["title"] for p in chosen])
+            keep = np.ones(n, bool)
+            if n > MOST_SEGMENTS:
+                keep = np.zeros(n, bool)
+                keep[rng.permutation(n)[:MOST_SEGMENTS]] = True
+                m = keep[where]
+                feat, where = feat[m], where[m]
+            weight = np.where(y == 1, 0.5 / max(1, (y[keep] == 1).sum()), 0.5 / max(1, (y[keep] == 0).sum())) * keep
+            model = ResidueModel(*_logistic(feat, where, scale, y, weight, n), self.known)
+            got = model.page_share(self.batch, self.titles)
+            label = np.where((self.share > 0.5) | (got > CASE), 1, np.where((got < 0.2) & (self.share <= 0.5), 0, -1))
+            label[self.stuffed & (self.mash <= 0.6)] = 0
+        return model
+
+    def validate(self) -> dict | None:
+        """The same three rounds without the hosts held out, held against these hosts' weak labels at the
+        threshold in use."""
+        model, test = self.fit(~self.held), self.held & (self.label >= 0)
+        if model is None or not test.any():
+            return None
+        hit, true = (model.page_share(self.batch, self.titles) > CASE)[test], (self.label == 1)[test]
+        return {
+            "pages": int(test.sum()), "positive": int(true.sum()), "accuracy": float((hit == true).mean()), "recall": float(hit[true].mean()) if true.any() else None,
+            "precision": float(true[hit].mean()) if hit.any() else None, "threshold": CASE,
+        }
+
+
+def fit(pages: list[dict], known: np.ndarray, seed: int = 5, report: bool = False) -> tuple[ResidueModel, dict]:
+    """Fit on sampled pages (dicts with parts, title, host, soft_404, js_only, stuffed) and the map of known
+    words; with ``report`` also the model's agreement with the weak labels on hosts that it has not seen.
 
     Pages that the keyword-stuffing model claims (stuffed) and that hold no phrase are negative."""
-    rng = np.random.default_rng(seed)
-    pages = [p for p in pages if p["parts"]]
-    share = np.array([phrase_share(p["parts"]) for p in pages]) if pages else np.zeros(0)
-    flagged = np.array([bool(p.get("soft_404")) or bool(p.get("js_only")) for p in pages], bool)
-    stuffed = np.array([bool(p.get("stuffed")) for p in pages], bool) & (share < 0.1)
-    vocab = Vocabulary()
-    everything = Batch(vocab, [None] * len(pages), [p["parts"] for p in pages])
-    known, mash = _known_words(vocab, everything)
-    tags = np.array([sum(x.count("#") for x in p["parts"]) * 12 > sum(map(len, p["parts"])) / 4 for p in pages], bool)
-    mash = np.where(tags, 0.0, mash)  # tags run together are words of their own too
-    label = np.where((share > 0.5) | (mash > 0.6), 1, np.where((share < 0.2) & ~(flagged & (share > 0)), 0, -1))
-    label[stuffed & (mash <= 0.6)] = 0
-    held = np.array([zlib.crc32((p.get("host") or "").encode()) % 5 == 0 for p in pages], bool)
-    if not (label == 1).any() or not (label == 0).any():
-        return ResidueModel(np.zeros(SIZE + 32), -1.0), {"pages": len(pages), "unseen_hosts": None}
-    report: dict = {"pages": len(pages)}
-    features = Features(known)
-    model = None
-    for last in (0, 1, 2):
-        use = np.flatnonzero((label >= 0) & (~held if last == 0 else True))
-        pos, neg = use[label[use] == 1], use[label[use] == 0]
-        # negatives: lists and stuffed pages all, prose as many as it takes
-        spam = neg[stuffed[neg]]
-        neg = np.concatenate([spam, rng.permutation(neg[~stuffed[neg]])[: max(600, 3 * len(pos))]])
-        chosen = [pages[i] for i in np.concatenate([pos, neg])]
-        b = Batch(vocab, [None] * len(chosen), [p["parts"] for p in chosen])
-        n = len(b.seg_chars)
-        y = np.repeat(np.concatenate([np.ones(len(pos)), np.zeros(len(neg))]), [len(p["parts"]) for p in chosen])
-        feat, where, scale = features(b, [p["title"] for p in chosen])
-        keep = np.ones(n, bool)
-        if n > MOST_SEGMENTS:
-            keep = np.zeros(n, bool)
-            keep[rng.permutation(n)[:MOST_SEGMENTS]] = True
-            m = keep[where]
-            feat, where = feat[m], where[m]
-        weight = np.where(y == 1, 0.5 / max(1, (y[keep] == 1).sum()), 0.5 / max(1, (y[keep] == 0).sum())) * keep
-        model = ResidueModel(*_logistic(feat, where, scale, y, weight, n), known)
-        got = model.page_share(everything, [p["title"] for p in pages])
-        if last == 0:
-            t = held & (label >= 0)
-            report["unseen_hosts"] = {
-                "pages": int(t.sum()), "accuracy": float(((got > 0.5) == (label == 1))[t].mean()) if t.any() else None,
-                "recall": float((got > 0.5)[t & (label == 1)].mean()) if (t & (label == 1)).any() else None,
-            }
-        label = np.where((share > 0.5) | (got > CASE), 1, np.where((got < 0.2) & (share <= 0.5), 0, -1))
-        label[stuffed & (mash <= 0.6)] = 0
-    return model, report
+    t = _Training(pages, known, seed)
+    model = t.fit(np.ones(len(t.pages), bool)) or ResidueModel(np.zeros(SIZE + 32), -1.0, known)
+    return model, {"pages": len(t.pages), "unseen_hosts": t.validate() if report else None}

@@ -5,49 +5,51 @@ stuffed, link list, tag list or menu by a hidden Markov model; a page is flagged
 are not prose hold more than half of its characters, navigation and footer aside.  Each line emits
 five discrete features given its label: share of function words, sentence end, content words repeated
 within the line, content words repeated over the page, and addresses or tag marks.  The parameters
-start from the stated table and are refined by Viterbi training on a bounded sample of pages.
+start from the stated table and are learnt by Viterbi training on a bounded sample of pages, in which the
+table counts as ``PRIOR`` lines per label.
+
+Function words are those that many pages of a declared language have (counts over all pages); no word
+list is kept.  A feature that says nothing about a line is left out of it: function words where the page's
+words are hardly known, sentence ends in scripts that have none.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from sievewright.llm.pagetext import Attributes, Batch, sums
+from sievewright.llm.pagetext import IS_UNSPACED, IS_WIDE, Attributes, Batch, sums
 
 PROSE, STUFFED, LINKS, TAGS, MENU = range(5)
 WINDOW = 24
 STATES = 5
-
-#: Function words of the nine languages.
-FUNCTION = set(
-    """the a an of to in is was and that it for with as on at by from not but which who if would has had have been be are this there then
-der die das den dem ein eine einen und ist war nicht von zu im mit auf für aus als doch aber wenn wird wurde bleibt dass sich wie noch wer
-le la les un une des du de et est ne pas que qui dans pour sur il elle ce mais si sont été au aux en plus à se ont
-el los las del y no es por con para se lo su pero más como ni
-il lo gli i di che è non per si una sono ma al della nel come anche più né
-het een van en niet dat op voor maar als wordt werd te er zijn met aan ook noch om
-o os as do da dos e não que em por uma mas se foi ao com mais nem ou
-i w z na do nie jest się że po od ale o już oraz ani to za jak lecz
-и в не на что с по как это а но из у за от для ни его если то уже же о""".split()
-)
+#: Lines per label that the start table counts in training.
+PRIOR = 5_000.0
+#: Share of a page's words that must be known for function words to say something.
+LEGIBLE = 0.5
 
 _SEP = set(",;|/·•»>–-—#")
+WORD_, FUNCTION_, END_, MARK_, UNSPACED_, KNOWN_ = 1, 2, 8, 16, 32, 64
+
+
+class Kinds:
+    """The bits of a token, by the corpus' function words and known words."""
 
+    def __init__(self, function: frozenset[str], known):
+        self.function, self.known = function, known
 
-def _kind(t: str) -> int:
-    """Bits: 1 word, 2 function word, 4 separator, 8 sentence end, 16 address or tag mark."""
-    if t in FUNCTION:
-        return 3
-    if t.isalpha():
-        return 1 | (16 if t in ("http", "https", "www") else 0)
-    bits = 0
-    if any(c in _SEP for c in t):
-        bits |= 4
-    if any(c in ".!?…" for c in t) and len(t) < 5:
-        bits |= 8
-    if t.startswith("#") or "://" in t or "»" in t or "@" in t:
-        bits |= 16
-    return bits
+    def __call__(self, t: str) -> int:
+        if t in self.function:
+            return WORD_ | FUNCTION_ | KNOWN_
+        if t[0].isalpha() or IS_UNSPACED.match(t):
+            unspaced = UNSPACED_ if IS_UNSPACED.match(t) else 0
+            known = 0 if IS_WIDE.match(t) else KNOWN_ * self.known(t)
+            return WORD_ | unspaced | known | (MARK_ if t in ("http", "https", "www") else 0)
+        bits = 0
+        if any(c in ".!?…。！？।" for c in t) and len(t) < 5:
+            bits |= END_
+        if t.startswith("#") or "://" in t or "»" in t or "@" in t:
+            bits |= MARK_
+        return bits
 
 
 #: Upper bounds of the bins of each feature.
@@ -81,15 +83,19 @@ class Lines:
         self.seg = np.repeat(np.arange(len(pieces)), pieces)
         self.page = b.seg_page[self.seg] if n else np.zeros(0, np.int64)
         self.chars = (b.seg_chars / pieces)[self.seg] if n else np.zeros(0)
-        word = (kind & 1) > 0
-        content = word & ((kind & 2) == 0)
-        words = sums(word, line, n)
-        stop = sums((kind & 2) > 0, line, n) / np.maximum(words, 1)
+        word = (kind & WORD_) > 0
+        content = word & ((kind & FUNCTION_) == 0)
+        self.words = words = sums(word, line, n)
+        stop = sums((kind & FUNCTION_) > 0, line, n) / np.maximum(words, 1)
+        # pages whose words are known, and lines of scripts that end sentences with a blank
+        at_page = b.seg_page[token_seg]
+        legible = sums((kind & KNOWN_) > 0, at_page, b.n_pages) >= LEGIBLE * np.maximum(sums(word, at_page, b.n_pages), 1)
+        unspaced = sums((kind & UNSPACED_) > 0, line, n) > 0.5 * np.maximum(words, 1)
         # does the segment end a sentence
         last = np.zeros(n)
         if n_tok:
             ends = (b.seg_start[1:] - 1)[b.seg_len > 0]
-            last[first[1:][b.seg_len > 0] - 1] = (kind[ends] & 8) > 0
+            last[first[1:][b.seg_len > 0] - 1] = (kind[ends] & END_) > 0
             last = last[first[1:] - 1][self.seg]
         # content words seen before in the same line, and over the page
         c = np.flatnonzero(content)
@@ -102,35 +108,53 @@ class Lines:
         page = self.page[line[c]]
         _, inv, cnt = np.unique(page * np.int64(1 << 32) + b.ids[c], return_inverse=True, return_counts=True)
         per_page = np.bincount(page, minlength=b.n_pages)
-        beyond = (cnt[inv] - 1) / np.maximum(per_page[page], 8)
+        beyond = (cnt[inv] - 1) / np.maximum(per_page[page], 16)
         over_page = sums(beyond, line[c], n) / np.maximum(n_content, 1)
-        marks = sums((kind & 16) > 0, line, n) / np.maximum(sums(np.ones(n_tok), line, n), 1)
+        marks = sums((kind & MARK_) > 0, line, n) / np.maximum(sums(np.ones(n_tok), line, n), 1)
         values = [stop, last, in_line, over_page, marks]
         self.bins = np.stack([np.searchsorted(edges, v, side="right") for edges, v in zip(BINS, values)]) if n else np.zeros((5, 0), np.int64)
-        self.values = values
+        if n:  # the bin behind the last one says nothing
+            self.bins[0][~legible[self.page]] = len(BINS[0]) + 1
+            self.bins[1][unspaced] = len(BINS[1]) + 1
 
 
 class StuffingModel:
     """Parameters of the Markov model, and the labels of lines by it."""
 
-    def __init__(self, emit=None, initial=None, trans=None):
+    def __init__(self, emit=None, initial=None, trans=None, function: frozenset[str] = frozenset(), known: np.ndarray | None = None):
         self.emit = [np.array([s[k] for s in START]) for k in range(5)] if emit is None else emit
         self.initial = np.array(INITIAL) if initial is None else initial
         self.trans = np.full((STATES, STATES), (1 - STAY) / (STATES - 1)) + np.eye(STATES) * (STAY - (1 - STAY) / (STATES - 1)) if trans is None else trans
+        self.function, self.known = function, known
 
     def __getstate__(self):
-        return {"emit": self.emit, "initial": self.initial, "trans": self.trans}
+        known = None if self.known is None else np.packbits(self.known)
+        return {"emit": self.emit, "initial": self.initial, "trans": self.trans, "function": self.function, "known": known}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        if self.known is not None:
+            self.known = np.unpackbits(self.known).astype(bool)
+
+    def _is_known(self, word: str) -> bool:
+        from sievewright.llm.residue import _hash
+
+        return self.known is None or bool(self.known[_hash(word) & (len(self.known) - 1)])
 
     def lines(self, b: Batch) -> Lines:
         if not hasattr(self, "kinds"):
-            self.kinds = Attributes(_kind, np.int64)
+            self.kinds = Attributes(Kinds(self.function, self._is_known), np.int64)
         return Lines(b, self.kinds)
 
+    def emissions(self, lines: Lines) -> np.ndarray:
+        """Log probability of each line's features by label."""
+        return sum(np.concatenate([np.log(self.emit[k]).T, np.zeros((1, STATES))])[lines.bins[k]] for k in range(5))
+
     def label(self, lines: Lines, n_pages: int) -> np.ndarray:
         """Viterbi labels; all pages of the batch advance together, line by line."""
         if not lines.n:
             return np.zeros(0, np.int64)
-        loge = sum(np.log(self.emit[k]).T[lines.bins[k]] for k in range(5))
+        loge = self.emissions(lines)
         logt = np.log(self.trans)
         counts = np.bincount(lines.page, minlength=n_pages)
         start = np.concatenate([[0], np.cumsum(counts)])[:-1]
@@ -157,34 +181,49 @@ class StuffingModel:
             out[at - 1] = state[:live]
         return out
 
+    def page_shares(self, b: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each page's characters, and of its words, in lines that are not prose; 0 for pages
+        without lines."""
+        lines = self.lines(b)
+        other = self.label(lines, b.n_pages) != PROSE
+        share = lambda v: sums(v * other, lines.page, b.n_pages) / np.maximum(sums(v, lines.page, b.n_pages), 1e-9)
+        return (share(lines.chars), share(lines.words)) if lines.n else (np.zeros(b.n_pages), np.zeros(b.n_pages))
+
     def page_share(self, b: Batch) -> np.ndarray:
-        """Share of each page's characters in lines that are not prose; 0 for pages without lines."""
+        return self.page_shares(b)[0]
+
+    def likelihood(self, b: Batch) -> float:
+        """Mean log likelihood of a line along the best path, in nats."""
         lines = self.lines(b)
-        labels = self.label(lines, b.n_pages)
-        total = sums(lines.chars, lines.page, b.n_pages)
-        return sums(lines.chars * (labels != PROSE), lines.page, b.n_pages) / np.maximum(total, 1)
+        if not lines.n:
+            return 0.0
+        lab, loge = self.label(lines, b.n_pages), self.emissions(lines)
+        same = lines.page[1:] == lines.page[:-1]
+        first = np.concatenate([[True], ~same])
+        total = loge[np.arange(lines.n), lab].sum() + np.log(self.trans[lab[:-1][same], lab[1:][same]]).sum() + np.log(self.initial[lab[first]]).sum()
+        return float(total / lines.n)
 
 
-def fit(b: Batch, rounds: int = 3, prior: float = 40_000.0) -> StuffingModel:
-    """Viterbi training: label the sampled lines, re-estimate, with the start values as ``prior`` lines
-    per state, so that states that the sample hardly shows keep their meaning."""
-    model = StuffingModel()
+def fit(b: Batch, function: frozenset[str] = frozenset(), known: np.ndarray | None = None, rounds: int = 4, prior: float = PRIOR) -> StuffingModel:
+    """Viterbi training: label the sampled lines, re-estimate, with the start table as ``prior`` lines
+    per label, so that labels that the sample hardly shows keep their meaning."""
+    model = StuffingModel(function=function, known=known)
     lines = model.lines(b)
     if not lines.n:
         return model
+    same = lines.page[1:] == lines.page[:-1]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    start = StuffingModel()
     for _ in range(rounds):
         lab = model.label(lines, b.n_pages)
         emit = []
         for k in range(5):
-            start = np.array([s[k] for s in START])
-            seen = np.zeros_like(start)
+            seen = np.zeros((STATES, start.emit[k].shape[1] + 1))
             np.add.at(seen, (lab, lines.bins[k]), 1)
-            e = seen + prior * start
+            e = seen[:, :-1] + prior * start.emit[k]
             emit.append(e / e.sum(1, keepdims=True))
-        same = lines.page[1:] == lines.page[:-1]
-        t = prior * StuffingModel().trans
+        t = prior * start.trans
         np.add.at(t, (lab[:-1][same], lab[1:][same]), 1)
-        first = np.flatnonzero(np.concatenate([[True], ~same]))
-        i = prior * np.array(INITIAL) + np.bincount(lab[first], minlength=STATES)
-        model = StuffingModel(emit, i / i.sum(), t / t.sum(1, keepdims=True))
+        i = prior * start.initial + np.bincount(lab[first], minlength=STATES)
+        model = StuffingModel(emit, i / i.sum(), t / t.sum(1, keepdims=True), function, known)
     return model

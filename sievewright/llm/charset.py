@@ -33,7 +33,7 @@ UNSEEN_COST = 4
 HIT = 0.5
 #: Steps of a chain, tokens a dictionary holds, its bytes.
 DEPTH, DICT_TOKENS, DICT_BYTES = 3, 6000, 1 << 16
-LEVEL = 9
+LEVEL = 6
 #: Letters that the first step of a two-step chain may leave.
 INNER = "ÃÂâäåÅÄãÐÑðñŠšŽžŸÿƒˆ˜"
 #: A token on this share of a language's pages is sound.
@@ -41,6 +41,7 @@ COMMON = 0.06
 
 _BLANKS = str.maketrans("\t\n\r", "   ")
 _INSIDE = re.compile(r"[^\W\d_][“”„«»—–…°•][^\W\d_]|^[”»…][^\W\d_]|[“„«]$|[“”„]{2}")
+_FROM_ODD = re.compile(r"[^\x00-\x7f][^ ]*")
 _RUN = re.compile(r"[^ \t\n\r]+")
 _ENTITY = re.compile(r"&(?:#\d{2,6}|#[xX][0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d{0,2});")
 _ASCII_EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -142,7 +143,8 @@ def words(text: str) -> set[str]:
     others may be bytes of a garbled character."""
     if "\n" in text or "\t" in text or "\r" in text:
         text = text.translate(_BLANKS) if "\t" in text or "\r" in text else text.replace("\n", " ")
-    return {t for t in set(text.split(" ")) if not t.isascii()}
+    back = text.rfind
+    return {text[back(" ", 0, m.start()) + 1 : m.end()] for m in _FROM_ODD.finditer(text)}
 
 
 def token(word: str) -> str:
@@ -153,9 +155,21 @@ def token(word: str) -> str:
     return e if e and e[0].isalnum() and e[-1].isalnum() else s
 
 
+_tokens: dict[str, str] = {}
+
+
 def tokens(text: str) -> set[str]:
     """The tokens of a text that have a character beyond ASCII."""
-    return {s for t in words(text) if not (s := token(t)).isascii()}
+    if len(_tokens) > 300_000:
+        _tokens.clear()
+    out = set()
+    for w in words(text):
+        t = _tokens.get(w)
+        if t is None:
+            t = _tokens[w] = token(w)
+        if not t.isascii():
+            out.add(t)
+    return out
 
 
 class _Sound(dict):
@@ -224,7 +238,7 @@ class CharsetModel:
         shows the token but cannot have meant it."""
         out = self.readings.get(t)
         if out is None:
-            odd, out = {c for c in t if c > "\x7f"}, {}
+            odd, out, judged = {c for c in t if c > "\x7f"}, {}, {}
             for w, trials in _BY_READ.items():
                 if not odd <= _SHOWN[w]:
                     continue  # a token was read in a codec that shows all its characters
@@ -235,11 +249,11 @@ class CharsetModel:
                         u = (u and undo(u, step)) or u
                     if u is None or u == t:
                         continue
-                    if not self._possible(u, utf8):
-                        out[k] = None
-                        continue
-                    e = u.strip(_SOFT_EDGE)
-                    out[k] = (u, e.lower() in self.known or e.isascii() or not any(map(str.isalpha, e)))
+                    key = (u, utf8)
+                    if key not in judged:  # many codecs agree on a token
+                        e = u.strip(_SOFT_EDGE)
+                        judged[key] = (u, e.lower() in self.known or e.isascii() or not any(map(str.isalpha, e))) if self._possible(u, utf8) else None
+                    out[k] = judged[key]
             if len(self.readings) > 100_000:
                 self.readings.clear()
             self.readings[t] = out
@@ -381,7 +395,7 @@ def fit(pages: list[tuple[str, str]]) -> CharsetModel:
 def fit_counts(counted: list[tuple[str, str, str, int]], plain: dict[str, int], pages_of: dict[str, int], least: int) -> CharsetModel:
     """Dictionaries from the corpus' counts: (language label, token, a written form, pages), the pages of
     ASCII words (what a garbled quote at a word leaves beside it), the pages of a language, and the least
-    pages of a token.  Frequent tokens, without those that some chain turns into a more frequent one:
+    pages of a token.  Pages without a label count, but make no dictionary.  Frequent tokens, without those that some chain turns into a more frequent one:
     these are garbled themselves."""
     count: Counter = Counter()
     by: dict[str, Counter] = {}
@@ -400,7 +414,7 @@ def fit_counts(counted: list[tuple[str, str, str, int]], plain: dict[str, int],
             clean[t] = True
             continue
         clean[t] = not any(_better(t, form, step, n, count, plain) for form in {t, written[t], t.swapcase()} for step in CHAINS)
-    return CharsetModel({lang: [t for t, _ in sorted(c.items(), key=lambda x: (-x[1], x[0])) if clean[t]][:DICT_TOKENS] for lang, c in by.items()})
+    return CharsetModel({lang: [t for t, _ in sorted(c.items(), key=lambda x: (-x[1], x[0])) if clean[t]][:DICT_TOKENS] for lang, c in by.items() if lang})
 
 
 def _better(t: str, form: str, step: tuple[str, str], n: int, count: Counter, plain: dict[str, int]) -> bool:

@@ -29,8 +29,8 @@ TRAIN_SENTENCES = 4_000
 TRAIN_LONGEST = 400
 #: Labelled sentences outside the automaton that the confidence is calibrated on, at most.
 HELD_OUT = 3_000
-#: Cells of the complete transition table of a worker (6 bytes each).
-DENSE_CELLS = 40_000_000
+#: Cells of the complete transition table of a worker (8 bytes each).
+DENSE_CELLS = 30_000_000
 #: Characters that a segment advances by at once.
 PIECE = 200
 #: A segment shorter than this many letters takes the language of its neighbours; letters of scripts
@@ -176,7 +176,7 @@ class LanguageModel:
                 above = best[link[g]]
                 best[g] = np.where(bits[g] > 0, own, np.where(above == own, left - 1, above))
             target[src[e], char[e]], base[src[e], char[e]] = dst[e], own
-        self.target, self.base, self.best = target.ravel(), base.ravel(), best
+        self.step, self.best = (target.astype(np.int64) << 16 | base).ravel(), best  # one cell, one look
         blank = self.code.get(" ", 0)
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         self.codes = np.full(0x110000, blank, np.int32)
@@ -206,7 +206,7 @@ class LanguageModel:
 
     def phrases(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases per language, letters) of each segment (without line ends)."""
-        if not hasattr(self, "target"):
+        if not hasattr(self, "step"):
             self._expand()
         n, n_lang = len(segments), len(self.langs)
         out, letters = np.zeros((n, n_lang)), np.zeros(n, np.int64)
@@ -256,8 +256,9 @@ class LanguageModel:
             code = codes[at]
             dense = np.minimum(code, self.width - 1) if has_rare else code
             cell = state[:live] * self.width + dense
-            b = self.base[cell].astype(np.int64)
-            new, size = self.target[cell].astype(np.int64), np.where(b == 0xFFFF, length[:live] + 1, np.minimum(b, length[:live] + 1))
+            step = self.step[cell]
+            new, b = step >> 16, step & 0xFFFF
+            size = np.where(b == 0xFFFF, length[:live] + 1, np.minimum(b, length[:live] + 1))
             if has_rare and len(r := np.flatnonzero(code >= self.width)):
                 new[r], size[r] = self._rare(state[r], length[r], code[r])
             state[:live], length[:live] = new, size
@@ -283,7 +284,10 @@ class LanguageModel:
         """(language index or -1, evidence, letters) of each segment."""
         if not segments or not self.langs:
             return np.full(len(segments), -1), np.zeros(len(segments)), np.zeros(len(segments), np.int64)
-        ph, letters = self.phrases(segments)
+        once: dict[str, int] = {}
+        where = np.fromiter((once.setdefault(s, len(once)) for s in segments), np.int64, len(segments))
+        ph, letters = self.phrases(list(once))
+        ph, letters = ph[where], letters[where]
         rate = ph / np.maximum(letters, 1)[:, None]
         best = rate.argmin(1)
         top = rate[np.arange(len(rate)), best]

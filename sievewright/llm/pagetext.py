@@ -25,7 +25,10 @@ _FOOT = re.compile(
     r"|(?:(?:cookies|rss|imprint|privacy|terms|impressum)\s*[|·�?]\s*){1,3}[^\s|·]{1,40}|↑ top)\s*$",
     re.I,
 )
-_END = re.compile(r"[.!?…][\"”»’“)\]]*[ \t\xa0]+|[。！？।]+[」』”）]*|[\n\r]+")
+#: What a footer line holds, for a quick look.
+_FOOT_HINTS = ("©", "(c)", "copyright", "all rights", "cookies", "rss", "imprint", "privacy", "terms", "impressum", "↑")
+#: Ends of segments; every one starts with a character of one class, so that a text is searched fast.
+_END = re.compile(r"[.!?…。！？।\n\r](?:(?<=[.!?…])[\"”»’“)\]]*[ \t\xa0]+|(?<=[。！？।])[。！？।]*[」』”）]*|(?<=[\n\r])[\n\r]*)")
 #: Scripts that put no blanks between words: their runs are taken in pieces, of two characters where a
 #: character is a syllable or word, of four where it is a letter; a keyword that comes again gives the same pieces.
 _SYLLABLES, _UNSPACED = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff", "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
@@ -41,9 +44,11 @@ def body(text: str) -> str:
     m = _HEAD.match(text)
     if m:
         text = text[m.end() :]
-    m = _FOOT.search(text, max(0, len(text) - 140))
-    if m:
-        text = text[: m.start()]
+    tail = text[-140:].lower()
+    if any(h in tail for h in _FOOT_HINTS):
+        m = _FOOT.search(text, max(0, len(text) - 140))
+        if m:
+            text = text[: m.start()]
     m = _HEAD.fullmatch(text)
     return "" if m else text.strip()
 
@@ -74,7 +79,7 @@ class Vocabulary(dict):
     def reset(self):
         self.clear()
         self.tokens: list[str] = []
-        self._arrays = None
+        self.words: dict[str, tuple[int, ...]] = {}
         self["\x00"]  # id 0 parts segments
 
     def __missing__(self, token: str) -> int:
@@ -83,9 +88,20 @@ class Vocabulary(dict):
         return i
 
     def trim(self):
-        if len(self.tokens) > self.most:
+        if len(self.tokens) > self.most or len(self.words) > self.most:
             self.reset()
 
+    def encode(self, text: str) -> list[int]:
+        """Token ids of a lower-case text; what stands between blanks is taken apart once."""
+        out: list[int] = []
+        known = self.words
+        for w in text.split():
+            ids = known.get(w)
+            if ids is None:
+                ids = known[w] = tuple([self[t] for t in _TOKEN.findall(w)])
+            out += ids
+        return out
+
 
 class Attributes:
     """An array over a vocabulary, extended as it grows: f(token) -> number."""
@@ -121,8 +137,7 @@ class Batch:
         flat = [s for p in self.parts for s in p]
         self.seg_page = np.repeat(np.arange(self.n_pages), counts)
         self.seg_chars = np.fromiter(map(len, flat), np.int64, len(flat))
-        toks = _TOKEN.findall("\x00".join(x.replace("\x00", " ") if "\x00" in x else x for x in flat).lower())
-        raw = np.fromiter(map(vocab.__getitem__, toks), np.int64, len(toks))
+        raw = np.array(vocab.encode(" \x00 ".join(x.replace("\x00", " ") if "\x00" in x else x for x in flat).lower()), np.int64)
         cut = np.flatnonzero(raw == 0)
         self.ids = np.delete(raw, cut)
         inner = cut - np.arange(len(cut))

@@ -11,6 +11,7 @@ Tokens that carry U+FFFD have lost bytes; they are garbled and stay as they are.
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 from collections import Counter
@@ -31,6 +32,8 @@ EXCEPT_COST = 2
 UNSEEN_COST = 4
 #: Among chains that describe a page shorter than its text, a known token is worth so many bytes.
 HIT = 0.5
+#: Least description of a token.
+TOKEN_BYTES = 1
 #: Steps of a chain, tokens a dictionary holds, its bytes.
 DEPTH, DICT_TOKENS, DICT_BYTES = 3, 6000, 1 << 16
 LEVEL = 6
@@ -111,6 +114,11 @@ def _pairs() -> dict[tuple[str, str], _Table]:
 
 
 _PAIRS = _pairs()
+#: The same for tokens without control and replacement characters, by the codecs' own fast routines: characters
+#: to bytes, and bytes to characters, U+FFFF where a codec has none.
+_ENCODE = {w: codecs.charmap_build("".join(bytes([b]).decode(w) if _knows(w, b) else chr(b) for b in range(256))) for w in READ}
+_DECODE = {r: "".join(bytes([b]).decode(r) if _knows(r, b) else "\uffff" for b in range(256)) for r in WRITTEN}
+_UNUSUAL = re.compile(r"[\x80-\x9f\ufffd]")
 CHAINS = [(w, "utf_8") for w in READ] + list(_PAIRS)
 #: Steps to try, and whether a step is repeated while it can be.
 _TRIALS = [(s, deep) for s in CHAINS[: len(READ)] for deep in (False, True)] + [(s, False) for s in CHAINS[len(READ) :]]
@@ -219,11 +227,12 @@ class CharsetModel:
         self.by_lang = state["by_lang"]
 
     def length(self, ts: list[str]) -> int:
-        """Least description length of the tokens over all languages, in bytes."""
+        """Least description length of the tokens over all languages, in bytes; no token takes less than
+        TOKEN_BYTES."""
         data = (" ".join(ts).lower().translate(_SHORT) + " ").encode("utf-8", "replace")
         if not self.coders:
             return len(self.plain.compress(data))
-        return max(0, min(len(c.compress(self.primer[g] + data)) - self.floors[g] for g, c in self.coders.items()))
+        return max(len(ts) * TOKEN_BYTES, min(len(c.compress(self.primer[g] + data)) - self.floors[g] for g, c in self.coders.items()))
 
     def _possible(self, u: str, formed: bool) -> bool:
         """No control characters (those of an inner step of a chain aside), no letters that no language
@@ -239,12 +248,14 @@ class CharsetModel:
         out = self.readings.get(t)
         if out is None:
             odd, out, judged = {c for c in t if c > "\x7f"}, {}, {}
+            unusual = _UNUSUAL.search(t)
             for w, trials in _BY_READ.items():
                 if not odd <= _SHOWN[w]:
                     continue  # a token was read in a codec that shows all its characters
+                raw = None if unusual else codecs.charmap_encode(t, "strict", _ENCODE[w])[0]
                 for k, step, deep in trials:
                     utf8 = step[1] == "utf_8"
-                    u = undo(t, step) if utf8 else t.translate(_PAIRS[step])
+                    u = undo(t, step) if utf8 else t.translate(_PAIRS[step]) if unusual else codecs.charmap_decode(raw, "strict", _DECODE[step[1]])[0]
                     for _ in range((DEPTH - 1) * deep):
                         u = (u and undo(u, step)) or u
                     if u is None or u == t:
@@ -289,14 +300,14 @@ class CharsetModel:
 
     def _shortest(self, ts: list[str]) -> tuple | None:
         """(step, tokens) of the decoding that describes the tokens shortest, if shorter than they are.
-        A description has no negative length: once the cost alone of all that is left is more than the
+        A description has a least length: once this and the cost of all that is left are more than the
         best total, none of these can win, and they are not compressed."""
-        base = self.length(ts)
+        base, least = self.length(ts), len(ts) * TOKEN_BYTES
         best: tuple | None = None
         for bound, i, cost, more, step, new in sorted((cost - more, i, cost, more, s, n) for i, (cost, more, s, n) in enumerate(self._candidates(ts))):
-            if best is not None and bound > best[0]:
+            if best is not None and bound + least > best[0]:
                 break
-            if cost < base and (total := self.length(new) + cost) < base and (best is None or (total - more, i) < best[:2]):
+            if cost + least < base and (total := self.length(new) + cost) < base and (best is None or (total - more, i) < best[:2]):
                 best = (total - more, i, step, new)
         return best and best[2:]
 

@@ -1,4 +1,4 @@
-"""Command line: run, reclassify, status, requeue, taxonomy, init, doctor."""
+"""Command line: run, reclassify, eval, status, requeue, taxonomy, init, doctor."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def _session():
 
 
 def main(argv: list[str] | None = None) -> int:
-    """0 ok, 1 no such node, 2 configuration."""
+    """0 ok, 1 no such node, 2 configuration, 3 accuracy below the target."""
     p = argparse.ArgumentParser(prog="sievewright")
     p.add_argument("--config")
     sub = p.add_subparsers(dest="cmd", required=True)
@@ -34,14 +34,23 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("requeue")
     c.add_argument("--state", required=True)
     c.add_argument("status")
+    c = sub.add_parser("eval")
+    c.add_argument("--golden", required=True)
+    c.add_argument("--fixtures", required=True)
+    for name in ("provider", "base-url", "model"):
+        c.add_argument(f"--{name}")
+    c.add_argument("--min-accuracy", type=float, default=0.0)
     c = sub.add_parser("taxonomy")
-    c.add_argument("path")
+    c.add_argument("path", help="a file, or default for the bundled taxonomy")
     c.add_argument("node", nargs="?")
     sub.add_parser("init").add_argument("path")
     sub.add_parser("doctor")
     a = p.parse_args(argv)
     try:
-        conf = S.load(a.config, classify__mode=getattr(a, "mode", None))
+        given = {"mode": getattr(a, "mode", None)}
+        if a.cmd == "eval":
+            given = {"mode": "sync", "provider": a.provider, "base_url": a.base_url, "model_small": a.model, "model_large": a.model}
+        conf = S.load(a.config, **{f"classify__{k}": v for k, v in given.items()})
         if a.cmd == "init":
             with open(a.path, "x") as f:
                 f.write('[identity]\ncontact = "mailto:you@example.org"\n\n[classify]\nmode = "off"\n')
@@ -62,6 +71,16 @@ def main(argv: list[str] | None = None) -> int:
             print(pipeline.run(spark, lines, conf, a.state, a.out))
         elif a.cmd == "reclassify":
             print(pipeline.reclassify(spark, conf, a.state, a.out))
+        elif a.cmd == "eval":
+            if conf.classify.provider == "off":
+                raise S.ConfigError("eval needs a provider")
+            got = pipeline.evaluate(spark, a.golden, a.fixtures, conf)
+            topics = "none labelled" if got["topic_accuracy"] is None else f"{got['topic_accuracy']:.4f} ({got['topic_correct']}/{got['topic_labelled']})"
+            print(f"pages {got['total']}  site types {got['accuracy']:.4f}  topics {topics}")
+            for method, (right, total) in sorted(got["by_method"].items()):
+                print(f"{method:28s} {right}/{total}")
+            print("\n".join(got["misses"]))
+            return 3 if got["accuracy"] < a.min_accuracy else 0
         elif a.cmd in ("status", "requeue"):
             store = frontier.StateStore(spark, a.state)
             urls = store.read("urls")
@@ -73,8 +92,8 @@ def main(argv: list[str] | None = None) -> int:
             for r in frontier.counts_by_status(urls).orderBy("status").collect():  # as many rows as statuses
                 print(f"{r.status:28s} {r.n}")
         else:
-            t = taxonomy.load(spark, a.path)
-            shown = taxonomy.paths(t if a.node is None else t).orderBy("id")
+            t = taxonomy.load(spark, None if a.path == "default" else a.path)
+            shown = taxonomy.paths(t).orderBy("id")
             rows = [r.line for r in (shown if a.node is None else shown.where(F.col("id") == a.node)).collect()]  # a fixed table
             print("\n".join(rows))
             return 0 if rows else 1

@@ -1,17 +1,19 @@
 """A pluggable language detector and the rules around it.
 
 The built-in detector weighs function words: each word of a text votes for the languages that have it,
-the more so the fewer they are.  Any callable text -> (language, probability) can stand in its place.
+the more so the fewer they are.  Trigram profiles learnt from a labelled table know any language that the
+table has.  Any callable text -> (language, probability) can stand in its place.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import base_language
@@ -60,6 +62,40 @@ def function_words(text: str) -> tuple[str | None, float]:
     return best, score[best] ** 2 / rest
 
 
+class Profiles:
+    """A detector of character trigrams: log frequencies of the commonest ones per language, learnt from a
+    table.  A text's language is the likeliest; the probability is its share among all."""
+
+    def __init__(self, table: dict[str, dict[str, float]]):
+        self.table = {k: table[k] for k in sorted(table)}
+        self.floor = min((v for t in self.table.values() for v in t.values()), default=0.0) - 1.0
+
+    def __call__(self, text: str) -> tuple[str | None, float]:
+        s = f" {' '.join(_TOKEN.findall(text.lower()))} "
+        grams = Counter(s[i : i + 3] for i in range(len(s) - 2))
+        if not self.table or not s.strip():
+            return None, 0.0
+        score = {k: sum(n * t.get(g, self.floor) for g, n in grams.items()) for k, t in self.table.items()}
+        best = max(score, key=score.__getitem__)
+        # letters are no independent draws: the evidence of a text counts by the root of its length
+        scale = math.sqrt(sum(grams.values())) / sum(grams.values())
+        return best, 1 / sum(math.exp(max(-50.0, (v - score[best]) * scale)) for v in score.values())
+
+
+def learn(texts: DataFrame, text: str, lang: str, most: int = 400) -> Profiles:
+    """Profiles of the languages that a table is labelled with: trigrams are counted where the texts are,
+    the ``most`` commonest of each language come to the driver."""
+    s = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
+    t = texts.where(F.col(lang).isNotNull()).select(base_language(F.col(lang)).alias("_l"), s.alias("_s")).where("_l IS NOT NULL AND length(_s) > 4")
+    g = t.select("_l", F.explode(F.transform(F.sequence(F.lit(1), F.length("_s") - 2), lambda i: F.substring("_s", i, F.lit(3)))).alias("_g")).groupBy("_l", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_l")
+    top = g.withColumn("_all", F.sum("_n").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("_n"), "_g"))).where(F.col("_r") <= most)  # as many as trigrams
+    table: dict[str, dict[str, float]] = {}
+    for r in top.select("_l", "_g", F.log(F.col("_n") / F.col("_all")).alias("p")).collect():  # languages x most
+        table.setdefault(r._l, {})[r._g] = r.p
+    return Profiles(table)
+
+
 def detect(main_text: Column, body_text: Column, html_lang: Column, detector: Callable[[str], tuple[str | None, float]] = function_words) -> Column:
     """struct(value, confidence, method, agreement) of a page.
 

@@ -25,12 +25,23 @@ NON_HTML = frozenset(
 .rpm .msi .mp3 .mp4 .avi .mov .mkv .webm .flac .wav .ogg .pdf .doc .docx .xls .xlsx .ppt .pptx .woff .woff2 .ttf .eot .otf""".split()
 )
 MAX_URL = 2048
-#: Public suffixes of two labels; an external list can be given instead.
+#: Labels under which registries of countries give names; a.<label>.<country> is a name then.
+SECOND_LEVEL = frozenset("ac biz co com edu firm gen go gob gouv gov govt gub idf ind info int k12 ltd me mil mod muni museum name ne net nhs nic nom or org plc police pro res sch school web".split())
+#: Countries that register names of these labels directly.
+FLAT = frozenset("de fr nl ch at be se no dk fi cz ie lu li ca us eu es it ru me co tv io ai".split())
+#: Exceptions to FLAT, and suffixes of hosting services.
 SUFFIXES = frozenset(
-    """co.uk org.uk ac.uk gov.uk me.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz co.jp ne.jp or.jp ac.jp com.br org.br gov.br com.mx
-com.ar com.tr com.cn org.cn com.hk com.sg co.in co.za co.kr com.pl com.ua co.il com.tw github.io blogspot.com""".split()
+    """gov.it edu.it gov.ie gc.ca com.es nom.es org.es gob.es edu.es com.fr asso.fr nom.fr gouv.fr co.at or.at ac.at gv.at co.no com.ru org.ru net.ru pp.ru ac.be
+com.co net.co nom.co org.co edu.co gov.co mil.co co.me net.me org.me edu.me ac.me gov.me com.io gov.us fed.us k12.ca.us github.io gitlab.io blogspot.com pages.dev web.app netlify.app vercel.app herokuapp.com""".split()
 )
 
+
+def load_suffixes(path: str) -> frozenset:
+    """Rules of a public suffix list file (one a line, comments with //, wildcards and exceptions kept)."""
+    with open(path, encoding="utf-8") as f:
+        return frozenset(x.split()[0].lower() for x in f if x.strip() and not x.startswith("//"))
+
+
 _PARTS = re.compile(r"([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", re.S)
 _SCHEME = re.compile(r"[^/?#]*:")
 _AUTHORITY = re.compile(r"(?:(.*)@)?(\[[^\]]*\]|[^:]*)(?::(\d*))?$", re.S)
@@ -191,13 +202,35 @@ def is_ip(host: Column) -> Column:
     return host.rlike(rf"^{octet}(?:\.{octet}){{3}}$") | host.rlike(r"^\[[0-9a-fA-F:.]+\]$")
 
 
-def registered_domain(host: Column, suffixes: frozenset = SUFFIXES) -> Column:
-    """The label before the public suffix, and the suffix; the host where there is none."""
+def registered_domain(host: Column, suffixes: frozenset | None = None) -> Column:
+    """The label before the public suffix, and the suffix; the host where there is none.
+
+    ``suffixes`` are the rules of a list (load_suffixes): the longest one that the host ends with counts,
+    *.x takes one label more, !y.x none.  Without a list a suffix is the last label, or two labels where a
+    country gives names below the usual labels (com.my, gov.pl) or the small table says so."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
-    three = F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), 3), ".")
-    return F.when(host.isNull() | (host == ""), host).when(is_ip(host) | (n <= 2), host).when(two.isin(sorted(suffixes)), three).otherwise(two)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - (k - 1), F.lit(1)), k), ".")
+    whole = host.isNull() | (host == "") | is_ip(host)
+    if suffixes is None:
+        tld, second = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
+        two = last(2).isin(sorted(SUFFIXES)) | ((F.length(tld) == 2) & ~tld.isin(sorted(FLAT)) & second.isin(sorted(SECOND_LEVEL)))
+        return F.when(whole | (n <= 2), host).when(last(3).isin(sorted(x for x in SUFFIXES if x.count(".") == 2)), last(4)).when(two, last(3)).otherwise(last(2))
+    depth = max((x.count(".") + 1 for x in suffixes), default=1)
+    rules = {k: sorted(x for x in suffixes if x.count(".") == k - 1) for k in range(1, depth + 1)}
+    out = None
+    for k in range(depth, 0, -1):  # the longest suffix first
+        plain = [x for x in rules[k] if x[0] not in "*!"]
+        wild, exempt = [x[2:] for x in rules[k] if x.startswith("*.")], [x[1:] for x in rules[k] if x.startswith("!")]
+        hit = F.lit(False)
+        if plain:
+            hit = last(k).isin(plain)
+        if wild:
+            hit = hit | ((n >= k) & last(k - 1).isin(wild))
+        cases = [(last(k).isin(exempt), last(k))] if exempt else []
+        for cond, value in [*cases, ((n >= k) & hit, last(k + 1))]:
+            out = F.when(cond, value) if out is None else out.when(cond, value)
+    return F.when(whole, host).otherwise(out.otherwise(last(2)))
 
 
 def prefilter(url: Column, rules: UrlRules = UrlRules()) -> Column:

@@ -1,21 +1,23 @@
 """The frontier as relational operators over parquet state.
 
-Keys are unique per canonical URL; every write is a new version of the table and a pointer is swapped
+Keys are unique per canonical URL; every write is a new version of the table and a pointer to it is created
 last, so a run that dies leaves the old state whole.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sievewright.functions import urls as U
+from sievewright.session import hadoop_path
 
-#: Columns that a keyed update may set.
+#: Columns that a keyed update may set, and statuses.
 SETTABLE = {"status", "attempts", "next_attempt_at", "last_error_code", "last_error_msg", "http_status", "content_sha256", "skip_reason", "fetched_at", "extracted_at", "classified_at"}
 STATUSES = ["pending", "fetching", "fetched", "failed_fetch", "dead", "blocked_robots", "blocked_robots_unavailable", "skipped_filter", "skipped_nonhtml", "skipped_too_large", "extracted", "classified", "needs_human", "done"]
 
@@ -80,6 +82,11 @@ def requeue_stuck(state: DataFrame) -> DataFrame:
     return state.withColumn("status", F.when(F.col("status") == "fetching", "pending").otherwise(F.col("status")))
 
 
+def stuck(state: DataFrame) -> DataFrame:
+    """What requeue_stuck() puts back."""
+    return state.where(F.col("status") == "fetching")
+
+
 def requeue(state: DataFrame, status: str) -> DataFrame:
     """Rows of a status go back to pending: attempts zeroed, error code and next attempt cleared."""
     if status not in STATUSES:
@@ -89,9 +96,19 @@ def requeue(state: DataFrame, status: str) -> DataFrame:
     return state.withColumns({**clear, "attempts": F.when(hit, 0).otherwise(F.col("attempts")), "status": F.when(hit, "pending").otherwise(F.col("status"))})
 
 
-def pending(state: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pending rows by host; a limit takes the first by (host, url_norm)."""
-    p = state.where(F.col("status") == "pending").orderBy("host", "url_norm")
+def get(state: DataFrame, key_value: str, key: str = "url_norm") -> DataFrame:
+    """The row of one key: the filter reaches the scan, whose files are sorted by host and key."""
+    return state.where(F.col(key) == key_value)
+
+
+def reclassifiable(state: DataFrame, evidence: DataFrame, key: str = "url_norm") -> DataFrame:
+    """Evidence of URLs that the state knows."""
+    return evidence.join(state.select(key), key, "left_semi")
+
+
+def pending(state: DataFrame, limit: int | None = None, *ties: str) -> DataFrame:
+    """Pending rows by host; a limit takes the first by (host, url_norm) and the columns that settle ties."""
+    p = state.where(F.col("status") == "pending").orderBy("host", "url_norm", *ties)
     return p.limit(limit) if limit is not None else p
 
 
@@ -119,38 +136,105 @@ def first_seen(state: DataFrame) -> DataFrame:
     return state.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.min("seen_at").alias("first_seen_at"))
 
 
+class StateConflict(RuntimeError):
+    """Another writer changed a table that this one read before."""
+
+
 class StateStore:
-    """Versioned parquet tables under one folder, with a pointer file that is replaced last."""
+    """Versioned parquet tables under one folder of any Hadoop file system.
 
-    SCHEMA_VERSION = "1"
+    A state is a numbered pointer file that names the current version of each table.  Pointers are only
+    ever created, never replaced, and creating one that exists fails; so of two writers one wins, and the
+    other takes the winner's tables over or, where these are the ones it read and wanted to write, gets
+    StateConflict.  The frontier is laid out by status, each file sorted by host and key, so that a scan of
+    pending rows reads nothing else.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
-        self.pointer = os.path.join(root, "_CURRENT.json")
+    SCHEMA_VERSION = "2"
+    KEPT = 3  # older states that stay readable for scans under way
 
-    def _current(self) -> dict:
-        if not os.path.exists(self.pointer):
-            return {"schema_version": self.SCHEMA_VERSION, "tables": {}}
-        with open(self.pointer) as f:
-            return json.load(f)
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.fs, self.path = hadoop_path(spark, self.root)
+        self.fs.mkdirs(self.path)
+        self.seen: dict[str, str] = {}
+
+    def _p(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path, name)
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[1:-5]) for n in (f.getPath().getName() for f in self.fs.listStatus(self.path)) if n.startswith("v") and n.endswith(".json"))
+
+    def _state(self, number: int) -> dict:
+        f = self.fs.open(self._p(f"v{number}.json"))
+        try:
+            now = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(f)).decode())
+        finally:
+            f.close()
+        if now["schema_version"] != self.SCHEMA_VERSION:
+            raise ValueError(f"state of version {now['schema_version']}, this is {self.SCHEMA_VERSION}")
+        return now
+
+    def _current(self) -> tuple[int, dict]:
+        numbers = self._numbers()
+        return (numbers[-1], self._state(numbers[-1])) if numbers else (0, {"schema_version": self.SCHEMA_VERSION, "tables": {}})
+
+    def _create(self, number: int, state: dict) -> bool:
+        """Create a pointer; False where there is one of this number already."""
+        try:
+            out = self.fs.create(self._p(f"v{number}.json"), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        return True
 
     def write(self, **tables: DataFrame) -> None:
         """New versions of the named tables become current together."""
-        now = self._current()
+        new = {}
         for name, df in tables.items():
             version = f"{name}-{uuid.uuid4().hex}"
-            df.write.option("compression", "zstd").parquet(os.path.join(self.root, version))
-            now["tables"][name] = version
-        tmp = f"{self.pointer}.{uuid.uuid4().hex}"
-        with open(tmp, "w") as f:
-            json.dump(now, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(tmp, self.pointer)
-
-    def read(self, name: str) -> DataFrame | None:
-        version = self._current()["tables"].get(name)
-        return self.spark.read.parquet(os.path.join(self.root, version)) if version else None
-
-
+            w = df
+            if "status" in df.columns and "url_norm" in df.columns:
+                order = [c for c in ("status", "host", "url_norm") if c in df.columns]
+                w = df.withColumn("_status", F.col("status")).sortWithinPartitions(*order)
+                w.write.partitionBy("_status").option("compression", "zstd").parquet(f"{self.root}/{version}")
+            else:
+                w.write.option("compression", "zstd").parquet(f"{self.root}/{version}")
+            new[name] = {"version": version, "schema": df.schema.json()}
+        while True:
+            number, now = self._current()
+            changed = [n for n in new if n in self.seen and now["tables"].get(n, {}).get("version") != self.seen[n]]
+            if changed:
+                raise StateConflict(f"changed meanwhile: {sorted(changed)}")
+            if self._create(number + 1, {**now, "tables": {**now["tables"], **new}}):
+                break
+        self.seen.update({n: v["version"] for n, v in new.items()})
+        self._clean()
+
+    def _clean(self) -> None:
+        """Drop pointers but the newest ones, and table versions that no pointer names and that are older."""
+        numbers = self._numbers()
+        if len(numbers) <= self.KEPT:
+            return
+        named = {t["version"] for n in numbers[-self.KEPT :] for t in self._state(n)["tables"].values()}
+        for n in numbers[: -self.KEPT]:
+            for t in self._state(n)["tables"].values():
+                if t["version"] not in named:
+                    self.fs.delete(self._p(t["version"]), True)
+            self.fs.delete(self._p(f"v{n}.json"), False)
+
+    def read(self, name: str, status: str | None = None) -> DataFrame | None:
+        """The current version of a table; with ``status`` only the files of this status."""
+        t = self._current()[1]["tables"].get(name)
+        if t is None:
+            return None
+        self.seen[name] = t["version"]
+        schema = StructType.fromJson(json.loads(t["schema"]))
+        df = self.spark.read.schema(schema).parquet(f"{self.root}/{t['version']}")
+        if status is not None:
+            own = StructType([*schema.fields, StructField("_status", StringType())])
+            df = self.spark.read.schema(own).parquet(f"{self.root}/{t['version']}").where(F.col("_status") == status)
+        return df.select(*schema.names)

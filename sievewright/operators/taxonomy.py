@@ -12,8 +12,49 @@ from sievewright.session import broadcast_if_small
 SCHEMA = "id string, name string, tier int, parent string, aliases array<string>, hints string"
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """A taxonomy file (YAML or JSON with ``nodes``) as a table, checked."""
+#: The bundled taxonomy: first-tier name, then its children.
+DEFAULT_VERSION = "sievewright-1"
+DEFAULT = """News and politics: elections, world affairs, opinion
+Business: companies, jobs, real estate, start-ups
+Money: banking, investing, insurance, taxes
+Law and government: courts, public administration, civil rights
+Science: physics, biology, chemistry, space, mathematics
+Health: medicine, nutrition, mental health, fitness
+Software: programming, security, data, operating systems
+Electronics: phones, computers, audio, photography
+Sport: football, athletics, winter sports, motor racing
+Arts: painting, theatre, literature, architecture
+Music: classical music, pop and rock, instruments
+Film and television: cinema, series, streaming
+Games: video games, board games, gambling
+Food: recipes, restaurants, drinks
+Travel: destinations, hotels, railways, flights
+Home: furniture, do-it-yourself, gardening
+Farming and nature: crops, livestock, forestry, environment
+Vehicles: cars, motorcycles, bicycles
+Education: schools, universities, languages
+Society: family, religion, history, relationships
+Fashion: clothing, beauty, jewellery
+Shopping: offers, second hand, catalogues
+Adult: adult content
+Other: unsorted"""
+
+
+def default_nodes() -> list[tuple]:
+    """The bundled nodes; an id is the name's words, a child's id its parent's and its own."""
+    slug = lambda s: "-".join(w for w in s.lower().replace(",", " ").split() if w != "and")
+    rows = []
+    for line in DEFAULT.splitlines():
+        name, _, children = line.partition(":")
+        rows.append((slug(name), name, 1, None, [], None))
+        rows += [(f"{slug(name)}.{slug(c)}", c.strip().capitalize(), 2, slug(name), [], None) for c in children.split(",")]
+    return rows
+
+
+def load(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """A taxonomy file (YAML or JSON with ``nodes``), or the bundled one, as a table, checked."""
+    if not path:
+        return spark.createDataFrame(default_nodes(), SCHEMA)
     with open(path, encoding="utf-8") as f:
         text = f.read()
     try:
@@ -69,6 +110,15 @@ def cycles(t: DataFrame) -> DataFrame:
     return closure(t).join(edge, ["id", "ancestor"]).select(F.col("ancestor").alias("id")).distinct()
 
 
+def node(t: DataFrame, id_: str) -> DataFrame:
+    """The node of an id, no row where there is none."""
+    return t.where(F.col("id") == id_)
+
+
+def first_tier(t: DataFrame) -> DataFrame:
+    return t.where(F.col("tier") == 1)
+
+
 def children(t: DataFrame, parent: str) -> DataFrame:
     return t.where(F.col("parent") == parent)
 
@@ -92,7 +142,7 @@ def validate_topics(verdicts: DataFrame, t: DataFrame, key: str, most: int = 3)
     Unknown first tiers are dropped, second tiers kept only below their first, repeats dropped, the
     first ``most`` kept, confidences clamped.  The taxonomy is a small fixed table and is broadcast.
     """
-    one = t.where("tier = 1").select(F.col("id").alias("t1"), F.col("name").alias("n1"))
+    one = first_tier(t).select(F.col("id").alias("t1"), F.col("name").alias("n1"))
     below = closure(t).where("distance > 0").join(t.select("id", F.col("name").alias("n2")), "id").select(F.col("id").alias("t2"), F.col("ancestor").alias("a2"), "n2")
     x = verdicts.select(key, F.posexplode("topics").alias("pos", "x")).select(key, "pos", F.col("x.tier1_id").alias("t1"), F.col("x.tier2_id").alias("t2"), F.col("x.confidence").alias("c"))
     x = x.join(broadcast_if_small(one), "t1")
@@ -104,3 +154,16 @@ def validate_topics(verdicts: DataFrame, t: DataFrame, key: str, most: int = 3)
     uniq = F.filter(F.col("ts"), lambda v, i: F.array_position(F.col("seen"), F.concat_ws("|", v["t1"], F.coalesce(v["t2"], F.lit("")))) == i + 1)
     kept = kept.withColumn("seen", seen).select(key, F.posexplode(F.slice(uniq, 1, most)).alias("rank", "v"))
     return kept.select(key, "rank", F.col("v.t1").alias("tier1_id"), F.col("v.n1").alias("tier1_name"), F.col("v.t2").alias("tier2_id"), F.col("v.n2").alias("tier2_name"), F.col("v.c").alias("confidence"))
+
+
+#: The topics of a record.
+PATHS = "array<struct<tier1_id:string,tier1_name:string,tier2_id:string,tier2_name:string,confidence:double>>"
+
+
+def with_topics(verdicts: DataFrame, t: DataFrame, key: str) -> DataFrame:
+    """Verdicts with their proposed topics replaced by the valid ones, named; none gives an empty list."""
+    v = validate_topics(verdicts.where(F.size("topics") > 0), t, key)
+    path = F.struct("rank", "tier1_id", "tier1_name", "tier2_id", "tier2_name", "confidence")
+    v = v.groupBy(key).agg(F.array_sort(F.collect_list(path)).alias("_v"))  # as many as MOST_TOPICS
+    v = v.select(key, F.transform("_v", lambda x: F.struct(*[x[c].alias(c) for c in ("tier1_id", "tier1_name", "tier2_id", "tier2_name", "confidence")])).alias("_t"))
+    return verdicts.join(v, key, "left").withColumn("topics", F.coalesce("_t", F.array().cast(PATHS))).drop("_t")

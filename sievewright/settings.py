@@ -35,6 +35,8 @@ class FetchSettings:
 class ClassifySettings:
     mode: str = "off"
     provider: str = "off"
+    base_url: str = ""
+    api_key: str = ""
     model_small: str = "small"
     model_large: str = "large"
     accept_small: float = 0.75

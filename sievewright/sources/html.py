@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
@@ -31,6 +32,7 @@ SEARCH_NAMES = {"q", "query", "search", "s", "keyword"}
 CART = ("cart", "carrello", "basket", "checkout", "panier", "warenkorb", "cesta")
 ARTICLE = re.compile(r"/\d{4}/\d{2}/|/article/|/articolo/|/news/|/story/|/post/|/\d{4,}(?:/|$)")
 APP_ROOTS = {"root", "app", "__next"}
+HEADINGS, HEADING = 15, 80
 
 SCHEMA = """url string, error string, title string, html_lang string, meta_description string, meta_keywords array<string>, meta_generator string,
 twitter_card string, og map<string,string>, og_locale string, canonical string, feeds array<string>, hreflang array<string>, headings array<string>,
@@ -42,10 +44,11 @@ jsonld_date_published string, is_accessible_for_free boolean, microdata_types ar
 class Element:
     """An element with what its ancestors make of it, known when it is opened."""
 
-    __slots__ = ("tag", "attrs", "parent", "order", "in_body", "in_form", "aside", "anchor")
+    __slots__ = ("tag", "attrs", "parent", "order", "in_body", "in_form", "aside", "anchor", "first", "last")
 
-    def __init__(self, tag, attrs, parent, order):
+    def __init__(self, tag, attrs, parent, order, at):
         self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
+        self.first = self.last = at  # its text pieces: those from its opening to its end
         up = parent
         self.in_body = tag == "body" or (up is not None and up.in_body)
         self.in_form = tag == "form" or (up is not None and up.in_form)
@@ -61,16 +64,18 @@ class Document(HTMLParser):
         self.elements: list[Element] = []
         self.pieces: list[tuple[Element | None, str]] = []
         self.stack: list[Element] = []
+        self.shown: list[int] = [0]  # pieces with something to see, counted up
         self.feed(html)
         self.close()
+        self._end(0)
 
     def handle_starttag(self, tag, attrs):
         family = IMPLIED.get(tag)
         if family or tag in BLOCK:
             closes = family or {"p"}
             while self.stack and self.stack[-1].tag in closes:
-                self.stack.pop()
-        e = Element(tag, {k: v if v is not None else "" for k, v in reversed(attrs)}, self.stack[-1] if self.stack else None, len(self.elements))
+                self._end(len(self.stack) - 1)
+        e = Element(tag, {k: v if v is not None else "" for k, v in reversed(attrs)}, self.stack[-1] if self.stack else None, len(self.elements), len(self.pieces))
         self.elements.append(e)
         if tag not in VOID:
             self.stack.append(e)
@@ -78,32 +83,39 @@ class Document(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.stack and self.stack[-1].tag == tag:
-            self.stack.pop()
+            self._end(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].tag == tag:
-                del self.stack[k:]
+                self._end(k)
                 return
 
+    def _end(self, k: int):
+        """Close the open elements from the k-th on."""
+        for e in self.stack[k:]:
+            e.last = len(self.pieces)
+        del self.stack[k:]
+
     def handle_data(self, data):
         self.pieces.append((self.stack[-1] if self.stack else None, data))
+        self.shown.append(self.shown[-1] + (not data.isspace()))
 
     def of(self, *tags) -> list[Element]:
         return [e for e in self.elements if e.tag in tags]
 
-    def text_under(self, root: Element) -> str:
-        return "".join(t for e, t in self.pieces if _under(e, root))
-
-
-def _under(e: Element | None, root: Element) -> bool:
-    while e is not None:
-        if e is root:
-            return True
-        if e.order < root.order:
-            return False
-        e = e.parent
-    return False
+    def text_under(self, root: Element, most: int | None = None) -> str:
+        """The text of an element, which are the pieces between its opening and its end; with ``most`` as
+        many pieces as it takes for so many visible characters."""
+        if self.shown[root.last] == self.shown[root.first]:
+            return ""
+        out, seen = [], 0
+        for k in range(root.first, root.last):
+            t = self.pieces[k][1]
+            out.append(t)
+            if most is not None and (seen := seen + len("".join(t.split()))) > most:
+                break
+        return "".join(out)
 
 
 def squeeze(s: str | None) -> str | None:
@@ -128,14 +140,13 @@ def linked_data(blocks: list[str]) -> dict:
             todo = [json.loads(text)] if text.strip() else []
         except (ValueError, RecursionError):
             continue
-        while todo:  # lists flattened, graphs before their node
-            x = todo.pop(0)
+        while todo:  # a stack; lists flattened, graphs before their node
+            x = todo.pop()
             if isinstance(x, list):
-                todo = x + todo
+                todo.extend(reversed(x))
             elif isinstance(x, dict):
                 if "@graph" in x:
-                    rest = {k: v for k, v in x.items() if k != "@graph"}
-                    todo = [x["@graph"], rest, *todo]
+                    todo += [{k: v for k, v in x.items() if k != "@graph"}, x["@graph"]]
                 else:
                     nodes.append(x)
     for node in nodes:
@@ -242,7 +253,7 @@ def facts(url: str | None, html: str | None, domain: str | None = None) -> dict:
         "canonical": next((a.get("href") for rel, a in links if rel == ["canonical"]), None),
         "feeds": distinct(a.get("href") for a in alternates if a.get("type", "").lower() in FEEDS),
         "hreflang": distinct(a.get("hreflang") for a in alternates)[:30],
-        "headings": [h[:80] for e in doc.of("h1", "h2") if (h := squeeze(doc.text_under(e)))][:15],
+        "headings": list(islice((h[:HEADING] for e in doc.elements if e.tag in ("h1", "h2") and (h := squeeze(doc.text_under(e, HEADING)))), HEADINGS)),
         "n_images": len(doc.of("img")), "n_scripts": len(doc.of("script")), "n_forms": len(doc.of("form")),
         "n_links_internal": internal, "n_links_external": external,
         "article_link_density": round(articles / (internal + external), 4) if internal + external else 0.0,
@@ -281,16 +292,19 @@ def decode(body: bytes, content_type: str | None = None) -> tuple[str, str, str]
         return body.decode("utf-8", errors="replace"), "utf-8", "default"
 
 
-def extract(pages: DataFrame, id_col: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The facts of every page, one parse each: (id, facts...).  Null HTML is an empty page; a page that
-    breaks the parser has its message in ``error`` and nulls elsewhere."""
-    src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_u"), F.col(html_col).cast("string").alias("_h"))
+def extract(pages: DataFrame, id_col: str, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The facts of every page, one parse each: (id, facts..., kept columns...).  Null HTML is an empty page; a
+    page that breaks the parser has its message in ``error`` and nulls elsewhere.  Columns to keep pass through
+    the batches, so no join brings them back."""
+    src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_u"), F.col(html_col).cast("string").alias("_h"), *[F.col(c).alias(f"_k_{c}") for c in keep])
     kind = dict(src.dtypes)["_id"]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     ddl = f"_id {kind}, " + SCHEMA.replace("\n", " ")
     arrow = to_arrow_schema(StructType.fromDDL(ddl))
+    kinds = dict(src.dtypes)
+    whole = ddl + "".join(f", `_k_{c}` {kinds[f'_k_{c}']}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,6 +317,8 @@ def extract(pages: DataFrame, id_col: str, url_col: str = "url", html_col: str =
                     except Exception as e:  # noqa: BLE001 - isolate the row
                         r = {"url": u, "error": f"{type(e).__name__}: {e}"[:200]}
                     rows.append({"_id": i, **r})
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
+                kept = [part.column(k) for k in range(3, part.num_columns)]
+                yield pa.RecordBatch.from_arrays([*[pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], *kept], names=[*arrow.names, *part.schema.names[3:]])
 
-    return spread(src).mapInArrow(run, ddl).withColumnRenamed("_id", id_col)
+    out = spread(src).mapInArrow(run, whole).withColumnRenamed("_id", id_col)
+    return out.withColumnsRenamed({f"_k_{c}": c for c in keep})

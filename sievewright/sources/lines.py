@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ SCOPES = ["auto", "site", "page", "both"]
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line) of a text file or folder."""
+    """(line) of a text file or folder; - reads standard input, which the driver has at hand."""
+    if path == "-":
+        return spark.createDataFrame([(x.rstrip("\n"),) for x in sys.stdin], "line string")
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
@@ -32,3 +36,17 @@ def parse_lines(lines: DataFrame, default_scope: str = "auto") -> DataFrame:
         "scope": F.when(good, scope),
         "reject_reason": F.when(~good, F.lit("bad_scope")),
     }).drop("_s", "_j")
+
+
+GOLDEN = "name string, url string, fixture string, expected_site_type string, expected_topic_tier1 string"
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """The golden set: JSON lines; blank lines and lines without a name are left out."""
+    return spark.read.schema(GOLDEN).json(path).where("name IS NOT NULL")
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(fixture, content) of the page files of a folder: a source of pages without a network."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.htm*").load(folder)
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("fixture"), "content")

@@ -193,3 +193,25 @@ def test_records_and_eval(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "a", "m"), (2, "a", None, "m"), (3, "b", "a", "n")], "k long, e string, g string, method string")
     assert records.accuracy(rows, "e", "g").first().accuracy == 0.3333 and records.accuracy(rows.where("false"), "e", "g").first().accuracy == 0.0
     assert {(x.method, x.total, x.correct) for x in records.by_method(rows, "e", "g").collect()} == {("m", 2, 1), ("n", 1, 0)} and records.mismatches(rows, "k", "e", "g").count() == 2
+
+
+def test_two_writers(spark, tmp_path):
+    a, b = frontier.StateStore(spark, str(tmp_path / "s")), frontier.StateStore(spark, str(tmp_path / "s"))
+    a.write(urls=state(spark), other=spark.range(2))
+    ours, theirs = a.read("urls"), b.read("urls")
+    b.write(urls=frontier.requeue_stuck(theirs))
+    with pytest.raises(frontier.StateConflict):
+        a.write(urls=frontier.requeue(ours, "failed_fetch"))
+    a.write(more=spark.range(3))  # tables that nobody else changed are taken over
+    assert {r.url_norm: r.status for r in a.read("urls").collect()} == {"a": "pending", "b": "pending", "c": "failed_fetch"} and b.read("more").count() == 3
+    got = a.read("urls", status="pending")
+    assert got.columns == state(spark).columns and got.count() == 2 and "PartitionFilters: [isnotnull(_status" in got._jdf.queryExecution().toString()
+    assert [r.host for r in frontier.get(a.read("urls"), "c").collect()] == ["h2"]
+    for k in range(6):
+        a.write(more=spark.range(k))
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("more-")]) <= 4
+    assert not a._create(a._current()[0], {})
+    f = next(p for p in sorted((tmp_path / "s").glob("v*.json")))
+    f.with_name("v999.json").write_text('{"schema_version": "0", "tables": {}}')
+    with pytest.raises(ValueError):
+        a.read("urls")

@@ -18,3 +18,12 @@ def test_detect(spark):
         assert got[k][:3] == (k, "detected", True) and got[k][3] > 0.6
     assert got["short"] == ("de", "html_lang", None, 0.4) and got["none"] == (None, "unknown", None, 0.0)
     assert got["wrong"][:3] == ("de", "detected", False) and got["body"][:3] == ("en", "detected", None) and got["digits"][:2] == ("it", "html_lang")
+
+
+def test_learnt_profiles(spark):
+    rows = [("The old harbour was moved to the other side of the town and nobody knew why.", "en-GB"), ("Der alte Hafen wurde auf die andere Seite der Stadt verlegt und niemand wusste warum.", "de"), ("Vanha satama siirrettiin kaupungin toiselle puolelle eikä kukaan tiennyt miksi.", "fi"), (None, "fi"), ("x", None)]
+    p = langid.learn(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert set(p.table) == {"en", "de", "fi"} and p("") == (None, 0.0)
+    for text, lang in (("the town and the harbour", "en"), ("die Stadt und der Hafen", "de"), ("kaupungin vanha satama", "fi")):
+        got, prob = p(text)
+        assert got == lang and 0.4 < prob <= 1

@@ -33,7 +33,8 @@ def view(columns: dict[str, Column]) -> Column:
     null = F.lit(None).cast("string")
     get = lambda n: columns.get(n, null)
     clean = lambda c: F.when(c.isNotNull(), sanitize(c))
-    strings = lambda n, most: F.slice(F.transform(columns[n], sanitize), 1, most) if n in columns else F.array().cast("array<string>")
+    empty = F.array().cast("array<string>")
+    strings = lambda n, most: F.slice(F.transform(F.coalesce(columns[n], empty), sanitize), 1, most) if n in columns else empty
     out = []
     for name, source, kind in VIEW:
         if kind == "s":

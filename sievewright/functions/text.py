@@ -57,7 +57,7 @@ def clip_list(c: Column, most: int, chars: int | None = None) -> Column:
 
 def split_keywords(content: Column) -> Column:
     """A keywords attribute as a list: split at commas, trimmed, empty ones dropped, the first 20."""
-    return F.slice(F.filter(F.transform(F.split(content, ","), F.trim), lambda x: x != ""), 1, 20)
+    return F.slice(F.filter(F.transform(F.split(content, ","), lambda x: F.trim(x)), lambda x: x != ""), 1, 20)
 
 
 # --- language labels --------------------------------------------------------------------------

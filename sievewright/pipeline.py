@@ -20,7 +20,7 @@ from sievewright.sources import html as H
 from sievewright.sources import lines as L
 
 
-def _decoded(content: Column, charset: Column) -> Column:
+def decoded(content: Column, charset: Column) -> Column:
     """Text of a body in its charset; bytes that do not fit become replacement characters."""
 
     @F.pandas_udf("string")
@@ -40,7 +40,7 @@ def evidence(fetched: DataFrame, detector: Callable = langid.function_words) ->
     """Evidence rows of good fetches: decoded HTML, its facts and the native columns around them.  The
     fetch's columns pass through the parser's batches; nothing is joined."""
     own = ("url_final", "status", "headers", "redirect_chain", "charset", "fetched_at", "content_sha256", "html")
-    body = fetched.select("url_norm", *own[:-2], F.sha2("content", 256).alias("content_sha256"), _decoded(F.col("content"), F.col("charset")).alias("html"))
+    body = fetched.select("url_norm", *own[:-2], F.sha2("content", 256).alias("content_sha256"), decoded(F.col("content"), F.col("charset")).alias("html"))
     e = H.extract(body.withColumn("_base", F.col("url_final")), "url_norm", "_base", "html", keep=own).drop("url")
     e = e.withColumn("_low", F.lower(F.coalesce("html", F.lit("")))).withColumn("_lang", langid.detect(F.col("text_main"), F.col("body_text"), F.col("html_lang"), detector))
     low, lang = F.col("_low"), F.col("_lang")

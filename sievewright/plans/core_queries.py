@@ -90,8 +90,7 @@ def frontier_counts(spark, d):
 
 @query("SELECT host, url_norm, line_no FROM urls WHERE status = 'pending' ORDER BY host, url_norm, line_no LIMIT 100")
 def frontier_pending_top(spark, d):
-    p = table(spark, d, "urls").where("status = 'pending'").orderBy("host", "url_norm", "line_no").limit(100)
-    return p.select("host", "url_norm", "line_no")
+    return frontier.pending(table(spark, d, "urls"), 100, "line_no").select("host", "url_norm", "line_no")
 
 
 @query("SELECT line_no, CASE WHEN status = 'fetching' THEN 'pending' ELSE status END AS status FROM urls")
@@ -120,9 +119,9 @@ def frontier_bump_attempts(spark, d):
     return frontier.bump_attempts(table(spark, d, "urls"), table(spark, d, "fetch_outcomes")).select("line_no", "attempts")
 
 
-@query("SELECT line_no, url_norm FROM urls WHERE url_norm IN (SELECT url_norm FROM page_html)")
+@query("SELECT page_id, url_norm FROM page_html WHERE url_norm IN (SELECT url_norm FROM urls)")
 def frontier_reclassifiable(spark, d):
-    return table(spark, d, "urls").select("line_no", "url_norm").join(table(spark, d, "page_html").select("url_norm"), "url_norm", "left_semi")
+    return frontier.reclassifiable(table(spark, d, "urls"), table(spark, d, "page_html").select("page_id", "url_norm"))
 
 
 @query("SELECT url_norm, page_id, site_type FROM page_records QUALIFY row_number() OVER (PARTITION BY url_norm ORDER BY classified_at DESC, page_id DESC) = 1")
@@ -242,8 +241,9 @@ _GEN = "CASE " + " ".join(f"WHEN contains(lower(meta_generator), '{n}') THEN '{n
 
 @query(f"SELECT page_id, coalesce({_GEN}, {_case(T.CMS, _LOW)}) AS cms, {_case(T.SHOPS, _LOW)} AS ecommerce_platform, {_list(T.ADS, _LOW)} AS ad_networks, {_list(T.ANALYTICS, _LOW)} AS analytics FROM page_html")
 def fingerprints(spark, d):
-    low = F.lower(F.concat_ws(" ", "meta_generator", "canonical", "body_text"))
-    return table(spark, d, "page_html").select("page_id", T.cms(F.col("meta_generator"), low).alias("cms"), T.first_match(low, T.SHOPS).alias("ecommerce_platform"), F.array_join(T.all_matches(low, T.ADS), ",").alias("ad_networks"), F.array_join(T.all_matches(low, T.ANALYTICS), ",").alias("analytics"))
+    low = F.col("_low")  # lower-cased once, below
+    p = table(spark, d, "page_html").select("page_id", "meta_generator", F.lower(F.concat_ws(" ", "meta_generator", "canonical", "body_text")).alias("_low"))
+    return p.select("page_id", T.cms(F.col("meta_generator"), low).alias("cms"), T.first_match(low, T.SHOPS).alias("ecommerce_platform"), F.array_join(T.all_matches(low, T.ADS), ",").alias("ad_networks"), F.array_join(T.all_matches(low, T.ANALYTICS), ",").alias("analytics"))
 
 
 @query("""SELECT page_id, nullif(lower(regexp_extract(trim(html_lang), '^([^-_]*)', 1)), '') AS base,
@@ -326,11 +326,11 @@ _WS = r"nullif(trim(regexp_replace({0}, '[\s\x{{A0}}\x{{85}}\x{{1C}}-\x{{1F}}\x{
 
 
 @query(f"""SELECT page_id, {_WS.format('title')} AS title, html_lang, meta_description, meta_generator, og_locale, canonical,
- array_to_string(list_distinct(coalesce(hreflang, [])) , '|') IS NOT NULL AS has_hreflang, n_links_internal, coalesce(n_links_external, 0) AS n_links_external, n_images,
+ len(list_distinct(list_filter(coalesce(hreflang, []), lambda x: x <> '')))::INT AS n_hreflang, n_links_internal, coalesce(n_links_external, 0) AS n_links_external, n_images,
  CAST(n_forms + CASE WHEN has_search_form THEN 1 ELSE 0 END AS INT) AS n_forms, n_scripts, has_search_form FROM page_html""")
 def html_round_trip(spark, d):
     x = H.extract(html_of_pages(spark, d), "page_id")
-    return x.select("page_id", "title", "html_lang", "meta_description", "meta_generator", "og_locale", "canonical", F.array_join("hreflang", "|").isNotNull().alias("has_hreflang"), "n_links_internal", "n_links_external", "n_images", "n_forms", "n_scripts", "has_search_form")
+    return x.select("page_id", "title", "html_lang", "meta_description", "meta_generator", "og_locale", "canonical", F.size("hreflang").alias("n_hreflang"), "n_links_internal", "n_links_external", "n_images", "n_forms", "n_scripts", "has_search_form")
 
 
 @query("SELECT coalesce(html_lang, '?') AS html_lang, count(*) AS pages, CAST(sum(n_links_internal) AS BIGINT) AS links FROM page_html GROUP BY 1")

@@ -345,15 +345,14 @@ def fit(pages: list[tuple[str, list[str]]], rounds: int = 2) -> LanguageModel:
         for k in langs:
             for w, c in count[k].items():
                 table.setdefault(w, {})[k] = c / max(1, total[k])
+        # the votes of a word, one in all
+        votes = {w: [(k, v / z) for k, v in t.items()] for w, t in table.items() if (z := sum(t.values()))}
         for i, (lang, _, ws) in enumerate(words):
-            score = Counter()
+            score: dict[str, float] = {}
             for w in ws:
-                t = table.get(w)
-                if t:
-                    z = sum(t.values())
-                    for k, v in t.items():
-                        score[k] += v / z
-            keep[i] = bool(score) and score.most_common(1)[0][0] == lang and score[lang] >= 0.6 * len(ws)
+                for k, v in votes.get(w, ()):
+                    score[k] = score.get(k, 0.0) + v
+            keep[i] = lang in score and score[lang] >= 0.6 * len(ws) and score[lang] == max(score.values())
     texts: dict[str, list[str]] = {}
     size, seen, taken = Counter(), set(), set()
     for new in (2, 1, 0):  # sentences with new words first, for a broad vocabulary

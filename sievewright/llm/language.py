@@ -29,7 +29,7 @@ TRAIN_SENTENCES = 4_000
 TRAIN_LONGEST = 400
 #: Labelled sentences outside the automaton that the confidence is calibrated on, at most.
 HELD_OUT = 3_000
-#: Cells of the complete transition table of a worker (8 bytes each).
+#: Cells of the complete transition table of a worker (4 or 8 bytes each).
 DENSE_CELLS = 30_000_000
 #: Characters that a segment advances by at once.
 PIECE = 200
@@ -44,7 +44,7 @@ SLOPE = 4.0
 LEAST_SENTENCES = 3
 
 _CLEAN = regex.compile(r"[^\p{L}\p{M}]+")
-_FIRST_WIDE = 0x2E80
+_FIRST_WIDE = chr(0x2E80)
 
 
 def plain(s: str) -> str:
@@ -145,7 +145,10 @@ class LanguageModel:
         link, length = self.link, self.length
         n, n_lang = len(link), len(self.langs)
         width = self.width = int(max(2, min(len(self.code) + 1, DENSE_CELLS // n)))  # codes below it are dense
-        own = np.uint16(0xFFFF)  # the match grows by one
+        # a cell holds the next state and the match length that it leaves, ``own`` where the match grows by one;
+        # in four bytes where these are few enough, which the caches like
+        self.shift, kind = (12, np.uint32) if n < 1 << 20 and int(length.max(initial=0)) + 1 < 0xFFF else (16, np.int64)
+        own = self.own = (1 << self.shift) - 1
         # depth in the tree of links; parents come before children
         level, up = np.zeros(n, np.int32), link.copy()
         while (up >= 0).any():
@@ -176,7 +179,7 @@ class LanguageModel:
                 above = best[link[g]]
                 best[g] = np.where(bits[g] > 0, own, np.where(above == own, left - 1, above))
             target[src[e], char[e]], base[src[e], char[e]] = dst[e], own
-        self.step, self.best = (target.astype(np.int64) << 16 | base).ravel(), best  # one cell, one look
+        self.step, self.best = (target.astype(kind) << kind(self.shift) | base.astype(kind)).ravel(), best
         blank = self.code.get(" ", 0)
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         self.codes = np.full(0x110000, blank, np.int32)
@@ -256,9 +259,9 @@ class LanguageModel:
             code = codes[at]
             dense = np.minimum(code, self.width - 1) if has_rare else code
             cell = state[:live] * self.width + dense
-            step = self.step[cell]
-            new, b = step >> 16, step & 0xFFFF
-            size = np.where(b == 0xFFFF, length[:live] + 1, np.minimum(b, length[:live] + 1))
+            step = self.step[cell].astype(np.int64)
+            new, b = step >> self.shift, step & self.own
+            size = np.where(b == self.own, length[:live] + 1, np.minimum(b, length[:live] + 1))
             if has_rare and len(r := np.flatnonzero(code >= self.width)):
                 new[r], size[r] = self._rare(state[r], length[r], code[r])
             state[:live], length[:live] = new, size
@@ -378,8 +381,10 @@ def page_languages(model: LanguageModel, parts: list[list[str]]) -> list[dict]:
     segs = [s for p in parts for s in p]
     lang, evidence, letters = model.evidence(segs)
     conf = model.confidence(evidence)
-    wide = np.fromiter((len(s) < LEAST_LETTERS * 2 and sum(c >= chr(_FIRST_WIDE) and c.isalpha() for c in s) for s in segs), np.int64, len(segs))
-    strong = letters + (WIDE - 1) * wide >= LEAST_LETTERS
+    strong = letters >= LEAST_LETTERS
+    for k in np.flatnonzero(~strong & (letters > 0)):
+        wide = sum(c >= _FIRST_WIDE and c.isalpha() for c in segs[k])
+        strong[k] = letters[k] + (WIDE - 1) * wide >= LEAST_LETTERS
     sure = strong & (evidence >= SURE)
     names = model.langs
     out, at = [], 0

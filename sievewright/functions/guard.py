@@ -130,6 +130,30 @@ class Robots:
         return max(hits)[1] if hits else True
 
 
+def robots_allow(body: Column, status: Column, path: Column, agent: str) -> Column:
+    """Whether the robots file (body, as served with status) lets the agent fetch the path; equal files are
+    read once a batch."""
+
+    @F.pandas_udf("boolean")
+    def run(b: pd.Series, s: pd.Series, p: pd.Series) -> pd.Series:
+        known: dict[tuple, Robots] = {}
+        out = []
+        for text, code, x in zip(b, s, p):
+            key = (int(code), text or "")
+            if key not in known:
+                known[key] = Robots(*key, agent)
+            out.append(known[key].allows(x))
+        return pd.Series(out)
+
+    return run(body, F.coalesce(status, F.lit(0)), path)
+
+
+def retry_delays(attempt: Column, code: Column, retry_after: Column) -> Column:
+    """Least seconds before a retry, jitter aside."""
+    by_server = (code == "E_RATE_LIMIT") & retry_after.rlike(r"^\s*\d+(?:\.\d+)?\s*$")
+    return F.when(by_server, F.least(F.lit(60.0), retry_after.try_cast("double"))).otherwise(F.least(F.lit(20.0), 0.5 * F.pow(F.lit(2.0), attempt - 1)))
+
+
 def host_delay(robots_delay: float | None, least: float = 1.0) -> float:
     """Seconds between two fetches of a host: a crawl delay within 0.5 to 30, else the setting."""
     return min(30.0, max(0.5, robots_delay)) if robots_delay is not None else max(least, 0.5)

@@ -157,7 +157,7 @@ class StateStore:
         self.spark, self.root = spark, root.rstrip("/")
         self.fs, self.path = hadoop_path(spark, self.root)
         self.fs.mkdirs(self.path)
-        self.seen: dict[str, str] = {}
+        self.seen: dict[str, list[str]] = {}
 
     def _p(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(self.path, name)
@@ -191,27 +191,54 @@ class StateStore:
         out.close()
         return True
 
+    def _files(self, name: str, df: DataFrame) -> str:
+        """Write a version's files; returns its folder."""
+        version = f"{name}-{uuid.uuid4().hex}"
+        if "status" in df.columns and "url_norm" in df.columns:
+            order = [c for c in ("status", "host", "url_norm") if c in df.columns]
+            df.withColumn("_status", F.col("status")).sortWithinPartitions(*order).write.partitionBy("_status").option("compression", "zstd").parquet(f"{self.root}/{version}")
+        else:
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{version}")
+        return version
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Rows that the table does not have, as files beside its own: nothing is written again.  compact()
+        makes one version of them."""
+        have = self._current()[1]["tables"].get(name)
+        if have is None:
+            self.write(**{name: rows})
+            return
+        schema = StructType.fromJson(json.loads(have["schema"]))
+        fitted = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+        delta = self._files(name, fitted)
+        while True:
+            number, now = self._current()
+            t = now["tables"][name]
+            if self._create(number + 1, {**now, "tables": {**now["tables"], name: {**t, "deltas": [*t.get("deltas", []), delta]}}}):
+                break
+        self._clean()
+
+    def compact(self, name: str) -> None:
+        """The table and what was appended to it as one version."""
+        t = self._current()[1]["tables"].get(name)
+        if t and t.get("deltas"):
+            self.write(**{name: self.read(name)})
+
+    @staticmethod
+    def _folders(t: dict) -> list[str]:
+        return [t["version"], *t.get("deltas", [])]
+
     def write(self, **tables: DataFrame) -> None:
         """New versions of the named tables become current together."""
-        new = {}
-        for name, df in tables.items():
-            version = f"{name}-{uuid.uuid4().hex}"
-            w = df
-            if "status" in df.columns and "url_norm" in df.columns:
-                order = [c for c in ("status", "host", "url_norm") if c in df.columns]
-                w = df.withColumn("_status", F.col("status")).sortWithinPartitions(*order)
-                w.write.partitionBy("_status").option("compression", "zstd").parquet(f"{self.root}/{version}")
-            else:
-                w.write.option("compression", "zstd").parquet(f"{self.root}/{version}")
-            new[name] = {"version": version, "schema": df.schema.json()}
+        new = {name: {"version": self._files(name, df), "schema": df.schema.json()} for name, df in tables.items()}
         while True:
             number, now = self._current()
-            changed = [n for n in new if n in self.seen and now["tables"].get(n, {}).get("version") != self.seen[n]]
+            changed = [n for n in new if n in self.seen and n in now["tables"] and self._folders(now["tables"][n]) != self.seen[n]]
             if changed:
                 raise StateConflict(f"changed meanwhile: {sorted(changed)}")
             if self._create(number + 1, {**now, "tables": {**now["tables"], **new}}):
                 break
-        self.seen.update({n: v["version"] for n, v in new.items()})
+        self.seen.update({n: self._folders(v) for n, v in new.items()})
         self._clean()
 
     def _clean(self) -> None:
@@ -219,11 +246,10 @@ class StateStore:
         numbers = self._numbers()
         if len(numbers) <= self.KEPT:
             return
-        named = {t["version"] for n in numbers[-self.KEPT :] for t in self._state(n)["tables"].values()}
+        named = {f for n in numbers[-self.KEPT :] for t in self._state(n)["tables"].values() for f in self._folders(t)}
         for n in numbers[: -self.KEPT]:
-            for t in self._state(n)["tables"].values():
-                if t["version"] not in named:
-                    self.fs.delete(self._p(t["version"]), True)
+            for f in {f for t in self._state(n)["tables"].values() for f in self._folders(t)} - named:
+                self.fs.delete(self._p(f), True)
             self.fs.delete(self._p(f"v{n}.json"), False)
 
     def read(self, name: str, status: str | None = None) -> DataFrame | None:
@@ -231,10 +257,12 @@ class StateStore:
         t = self._current()[1]["tables"].get(name)
         if t is None:
             return None
-        self.seen[name] = t["version"]
+        self.seen[name] = self._folders(t)
         schema = StructType.fromJson(json.loads(t["schema"]))
-        df = self.spark.read.schema(schema).parquet(f"{self.root}/{t['version']}")
-        if status is not None:
-            own = StructType([*schema.fields, StructField("_status", StringType())])
-            df = self.spark.read.schema(own).parquet(f"{self.root}/{t['version']}").where(F.col("_status") == status)
-        return df.select(*schema.names)
+        own = schema if status is None else StructType([*schema.fields, StructField("_status", StringType())])
+        out = None
+        for folder in self._folders(t):  # each a root of its own, as it is laid out by status
+            df = self.spark.read.schema(own).parquet(f"{self.root}/{folder}")
+            df = (df if status is None else df.where(F.col("_status") == status)).select(*schema.names)
+            out = df if out is None else out.unionByName(df)
+        return out

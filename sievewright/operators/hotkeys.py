@@ -97,8 +97,10 @@ def key_stats(urls: DataFrame, pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_pages"), F.sum(F.coalesce(F.col("body_text_len").cast("long"), F.lit(0))).alias("_len")
     )
     pairs = url_pairs(urls).where(F.col("key_value").isNotNull())
+    # pairs without a url meet no page; in the join they would all go to one task
+    known = pairs.where(F.col("url_norm").isNotNull()).join(per_url, "url_norm", "left")
     return (
-        pairs.join(per_url, "url_norm", "left")
+        known.unionByName(pairs.where(F.col("url_norm").isNull()), allowMissingColumns=True)
         .groupBy("key_field", "key_value")
         .agg(
             F.sum("weight").alias("n_rows"),

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from sievewright.functions import guard
 from sievewright.functions import prompt as P
 from sievewright.functions import text as T
 from sievewright.functions import urls as U
@@ -75,6 +76,45 @@ def url_prefilter_hosts(spark, d):
     return table(spark, d, "urls").select("line_no", U.prefilter(url).alias("skip_reason"))
 
 
+_ROBOTS = """User-agent: *
+Disallow: /
+
+User-agent: sieve
+Disallow: /a
+Disallow: /*.html$
+Allow: /a/open
+Crawl-delay: 2
+"""
+
+
+@query("""SELECT line_no, CASE WHEN line_no % 5 = 0 THEN true WHEN line_no % 3 = 0 THEN line_no % 2 = 1 WHEN line_no % 3 = 1 THEN line_no % 4 <> 1 ELSE true END AS allowed FROM urls""")
+def robots_rules(spark, d):
+    """Robots rules per URL: groups by agent, longest match, allow before disallow, wildcards and ends, and
+    files that were not served."""
+    n = F.col("line_no")
+    path = F.when(n % 3 == 0, F.when(n % 2 == 1, F.lit("/a/open/x")).otherwise("/a/shut")).when(n % 3 == 1, F.when(n % 4 == 1, F.lit("/b/page.html")).otherwise("/b/page.html?x")).otherwise(F.concat(F.lit("/c/"), n))
+    ok = guard.robots_allow(F.lit(_ROBOTS), F.when(n % 5 == 0, 404).otherwise(200), path, "sievewright/0.1")
+    return table(spark, d, "urls").select("line_no", ok.alias("allowed"))
+
+
+@query("""SELECT DISTINCT fetch_id, CASE WHEN error_code = 'E_RATE_LIMIT' AND fetch_id % 3 = 0 THEN least(60.0, (fetch_id % 90)::DOUBLE) ELSE least(20.0, 0.5 * power(2.0, fetch_id % 8)) END AS seconds FROM fetch_outcomes WHERE error_code IS NOT NULL""")
+def retry_waits(spark, d):
+    """Least waits before a retry: the server's word after a rate limit, else doubling up to a bound."""
+    k = F.col("fetch_id")
+    after = F.when(k % 3 == 0, (k % 90).cast("string")).when(k % 3 == 1, F.lit("soon"))
+    f = table(spark, d, "fetch_outcomes").where("error_code IS NOT NULL")
+    return f.select("fetch_id", guard.retry_delays(k % 8 + 1, F.col("error_code"), after).alias("seconds")).distinct()
+
+
+@query("SELECT line_no, line_no % 6 NOT IN (1, 3, 4, 5) AS safe FROM urls")
+def addresses_of_hosts(spark, d):
+    """Resolved addresses of every host: one unsafe address, or none at all, rejects it."""
+    n = F.col("line_no")
+    ip4 = F.concat(F.lit("93.184."), n % 200, F.lit(".7"))
+    ips = F.when(n % 6 == 0, F.array(ip4)).when(n % 6 == 1, F.array(ip4, F.lit("10.0.0.1"))).when(n % 6 == 2, F.array(F.lit("2606:4700::1"), ip4)).when(n % 6 == 3, F.array().cast("array<string>")).when(n % 6 == 4, F.array(F.lit("64:ff9b::a00:1"))).otherwise(F.array(F.lit("nonsense")))
+    return table(spark, d, "urls").select("line_no", guard.addresses_safe(ips).alias("safe"))
+
+
 # --- pages ------------------------------------------------------------------------------------
 
 

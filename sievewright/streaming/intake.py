@@ -22,15 +22,18 @@ def canonical_stream(lines: DataFrame, rules: U.UrlRules = U.UrlRules()) -> Data
     return p.withColumns({"host": host, "domain": U.registered_domain(host), "skip_reason": U.prefilter(F.col("url_norm"), rules)})
 
 
-def run_intake(lines: DataFrame, store: frontier.StateStore, checkpoint: str):
-    """Each micro-batch inserts the URLs that the state does not have; restarts repeat at most a batch,
-    and inserting is idempotent."""
+def run_intake(lines: DataFrame, store: frontier.StateStore, checkpoint: str, compact_every: int = 50):
+    """Each micro-batch appends the URLs that the state does not have, and nothing else is written; every
+    ``compact_every`` batches the appended files become one.  Restarts repeat at most a batch, and appending
+    is idempotent, as what is there is left out."""
 
     def batch(df: DataFrame, epoch: int) -> None:
         new = frontier.first_wins(df.withColumn("_o", F.monotonically_increasing_id()), "url_norm", "_o").drop("_o")
         new = new.withColumns({"status": F.when(F.col("skip_reason").isNotNull(), "skipped_filter").otherwise("pending"), "attempts": F.lit(0)})
         have = store.read("urls")
-        store.write(urls=new if have is None else frontier.insert_absent(have, new))
+        store.append("urls", new if have is None else new.join(have.select("url_norm"), "url_norm", "left_anti"))
+        if epoch % compact_every == compact_every - 1:
+            store.compact("urls")
 
     return canonical_stream(lines).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -71,6 +71,27 @@ def test_stream_intake(spark, tmp_path):
         q.awaitTermination(120)
         (src / "2.txt").write_text("https://a.example/x#again\nhttps://c.example/z.zip\n")
     assert {r.url_norm: r.status for r in store.read("urls").collect()} == {"https://a.example/x": "pending", "https://b.example": "pending", "https://c.example/z.zip": "skipped_filter"}
+    assert len(store._current()[1]["tables"]["urls"]["deltas"]) == 1 and store.read("urls", status="skipped_filter").count() == 1
+    store.compact("urls")
+    assert "deltas" not in store._current()[1]["tables"]["urls"] and store.read("urls").count() == 3
+
+
+def test_append_against_a_writer(spark, tmp_path):
+    a, b = frontier.StateStore(spark, str(tmp_path / "s")), frontier.StateStore(spark, str(tmp_path / "s"))
+    a.append("urls", state(spark))
+    have = a.read("urls")
+    b.append("urls", spark.createDataFrame([("d", "h3")], "url_norm string, host string"))
+    with pytest.raises(frontier.StateConflict):  # what was appended meanwhile would be lost
+        a.write(urls=have)
+    assert {r.url_norm: r.status for r in a.read("urls").collect()} == {"a": "pending", "b": "fetching", "c": "failed_fetch", "d": None}
+
+
+def test_robots_and_retries_as_columns(spark):
+    df = spark.createDataFrame([(None, None, "/x"), ("User-agent: *\nDisallow: /", 200, "/x"), ("User-agent: *\nDisallow: /", 500, "/x")], "b string, s int, p string")
+    assert [r.a for r in df.select(guard.robots_allow(F.col("b"), F.col("s"), F.col("p"), "x").alias("a")).collect()] == [True, False, True]
+    waits = spark.createDataFrame([(1, "E_DNS", None), (9, "E_DNS", "5"), (1, "E_RATE_LIMIT", "7"), (1, "E_RATE_LIMIT", "900"), (2, "E_RATE_LIMIT", "x")], "n int, c string, r string")
+    got = [r.w for r in waits.select(guard.retry_delays(F.col("n"), F.col("c"), F.col("r")).alias("w")).collect()]
+    assert got == [0.5, 20.0, 7.0, 60.0, 1.0] == [guard.retry_delay(n, c, r, rng=lambda: 0.0) for n, c, r in [(1, "E_DNS", None), (9, "E_DNS", "5"), (1, "E_RATE_LIMIT", "7"), (1, "E_RATE_LIMIT", "900"), (2, "E_RATE_LIMIT", "x")]]
 
 
 def test_guard():

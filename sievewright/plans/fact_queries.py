@@ -13,7 +13,7 @@ from sievewright.functions import prompt as P
 from sievewright.functions import text as T
 from sievewright.functions import urls as U
 from sievewright.operators import frontier, ladder, records, taxonomy
-from sievewright.plans.core_queries import _ESC, _WS
+from sievewright.plans.core_queries import _ESC, _WS, html_of_pages
 from sievewright.session import shared_dir, table
 from sievewright.sources import html as H
 from sievewright.streaming import intake
@@ -175,6 +175,17 @@ def html_structured_data(spark, d):
     return x.select("page_id", join("jsonld_types").alias("jsonld"), F.col("jsonld_publisher").alias("publisher"), F.col("jsonld_date_published").alias("published"), F.col("is_accessible_for_free").alias("free"), join("microdata_types").alias("microdata"), join("rdfa_types").alias("rdfa"))
 
 
+_LINES = f"list_filter(list_concat(list_transform(coalesce(headings, []), lambda x: {_WS.format('x')}), [{_WS.format('body_text')}]), lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT page_id, (coalesce(list_sum(list_transform({_LINES}, lambda x: length(x))), 0) + greatest(len({_LINES}) - 1, 0))::BIGINT AS text_len_chars FROM page_html")
+def main_text_lengths(spark, d):
+    """Main text of pages whose only content is their headings and one paragraph, between links, images,
+    forms and scripts."""
+    x = H.extract(html_of_pages(spark, d), "page_id")
+    return x.select("page_id", F.length("text_main").cast("long").alias("text_len_chars"))
+
+
 _SALE = T.FOR_SALE
 _HEAD = "coalesce(title, '') || ' ' || coalesce(headings[1], '')"
 _LOST = "(?i)(^|[^0-9A-Za-zÀ-ɏЀ-ӿ_])(404|not found|page not found|pagina non trovata|non trovata|introuvable|seite nicht gefunden)([^0-9A-Za-zÀ-ɏЀ-ӿ_]|$)"

@@ -174,7 +174,8 @@ def _read_batches(id_type: pa.DataType):
 
 def _attach(e: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
     """Left join of the endings with counts of unique keys, however many endings share a key."""
-    counts = materialise(counts)
+    if size_in_bytes(counts) > BROADCAST_BYTES:  # the planner's bound is loose where counts come of joins
+        counts = materialise(counts)
     if size_in_bytes(counts) <= BROADCAST_BYTES:
         return e.join(F.broadcast(counts), on, "left")
     salted = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

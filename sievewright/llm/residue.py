@@ -300,33 +300,33 @@ class _Training:
         self.mash = np.where(tags, 0.0, mash)  # tags run together are words of their own too
         self.label = np.where((share > 0.5) | (self.mash > 0.6), 1, np.where((share < 0.2) & ~(flagged & (share > 0)), 0, -1))
         self.label[self.stuffed & (self.mash <= 0.6)] = 0
+        self.features = Features(known)(self.batch, self.titles)
         self.held = np.array([zlib.crc32((p.get("host") or "").encode()) % 5 == 0 for p in pages], bool)
 
     def fit(self, use: np.ndarray) -> ResidueModel | None:
-        """Three rounds on the pages marked in ``use``; each relabels by the scores of the one before."""
+        """Three rounds on the pages marked in ``use``; each relabels by the scores of the one before.  The
+        features of all pages are made once."""
         rng, label, model = np.random.default_rng(self.seed), self.label.copy(), None
-        features = Features(self.known)
+        feat, where, scale = self.features
+        page, n = self.batch.seg_page, len(self.batch.seg_chars)
         for _ in range(3):
             pos, neg = np.flatnonzero((label == 1) & use), np.flatnonzero((label == 0) & use)
             if not len(pos) or not len(neg):
                 break
             # negatives: lists and stuffed pages all, prose as many as it takes
-            spam = neg[self.stuffed[neg]]
-            neg = np.concatenate([spam, rng.permutation(neg[~self.stuffed[neg]])[: max(600, 3 * len(pos))]])
-            chosen = [self.pages[i] for i in np.concatenate([pos, neg])]
-            b = Batch(self.vocab, [None] * len(chosen), [p["parts"] for p in chosen])
-            n = len(b.seg_chars)
-            y = np.repeat(np.concatenate([np.ones(len(pos)), np.zeros(len(neg))]), [len(p["parts"]) for p in chosen])
-            feat, where, scale = features(b, [p["title"] for p in chosen])
-            keep = np.ones(n, bool)
-            if n > MOST_SEGMENTS:
+            chosen = np.zeros(len(self.pages), bool)
+            chosen[pos] = chosen[neg[self.stuffed[neg]]] = True
+            chosen[rng.permutation(neg[~self.stuffed[neg]])[: max(600, 3 * len(pos))]] = True
+            y, keep = (label == 1)[page].astype(float), chosen[page]
+            if keep.sum() > MOST_SEGMENTS:
+                some = rng.permutation(np.flatnonzero(keep))[:MOST_SEGMENTS]
                 keep = np.zeros(n, bool)
-                keep[rng.permutation(n)[:MOST_SEGMENTS]] = True
-                m = keep[where]
-                feat, where = feat[m], where[m]
-            weight = np.where(y == 1, 0.5 / max(1, (y[keep] == 1).sum()), 0.5 / max(1, (y[keep] == 0).sum())) * keep
-            model = ResidueModel(*_logistic(feat, where, scale, y, weight, n), self.known)
-            got = model.page_share(self.batch, self.titles)
+                keep[some] = True
+            own, place = keep[where], np.cumsum(keep) - 1  # segments used, numbered through
+            y = y[keep]
+            weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+            model = ResidueModel(*_logistic(feat[own], place[where[own]], scale[keep], y, weight, len(y)), self.known)
+            got = page_share(self.batch, sums(model.weights[feat], where, n) * scale + model.bias > 0)
             label = np.where((self.share > 0.5) | (got > CASE), 1, np.where((got < 0.2) & (self.share <= 0.5), 0, -1))
             label[self.stuffed & (self.mash <= 0.6)] = 0
         return model

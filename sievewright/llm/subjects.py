@@ -116,9 +116,12 @@ class SubjectModel:
 
     def subjects(self, parts: list[str]) -> dict[str, float]:
         """Subject -> share, for the subjects over their thresholds."""
-        count, weight, total = self.mentions(parts)
+        return self.judged(*self.mentions(parts), len(parts))
+
+    def judged(self, count: dict[str, int], weight: dict[str, float], total: float, length: int) -> dict[str, float]:
+        """``subjects`` of a page with these mentions and so many segments."""
         most = max(count.values(), default=0)
-        return {t: weight[t] / total for t in count if total > 0 and over(count[t], weight[t], total, most, len(parts), self.thresholds.get(t, self.default))}
+        return {t: weight[t] / total for t in count if total > 0 and over(count[t], weight[t], total, most, length, self.thresholds.get(t, self.default))}
 
 
 def over(count: int, weight: float, total: float, most: int, length: int, limits: tuple) -> bool:

@@ -104,3 +104,13 @@ def test_weights_are_averaged_where_their_feature_occurs():
     m = residue.averaged(gw, g, np.ones(1 << residue.KNOWN_BITS, bool))
     assert (m.weights[5], m.weights[6], m.weights[7], m.bias) == (2.5, -7.0, 0.0, 0.5)
     assert residue.averaged(gw * 0, g * 0, m.known).bias == -1.0
+
+
+def test_the_report_needs_no_sample(world, monkeypatch):
+    def no_sample(*_):
+        raise AssertionError("a sample is drawn")
+
+    monkeypatch.setattr(counts, "hashed", no_sample)
+    df, flags, langs, rec, lab, tax = world
+    whole = [r for r in pages.subject_report(df, flags, langs, rec, lab, tax).collect() if r.topic is None]
+    assert whole[0].labels > 10 and whole[0].f1 > 0.9

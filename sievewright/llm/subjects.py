@@ -15,9 +15,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.llm.pagetext import Attributes, Batch, distinct, sums
+
 #: Least pages behind a term, lower bound of its share, and lead over the next subject.
 LEAST_PAGES, LEAST_BOUND, LEAD, Z = 3, 0.3, 1.5, 1.64
 #: One in so many labelled pages must carry a term: with keywords a page this bounds the list.
@@ -84,6 +87,91 @@ class SubjectModel:
             self.automaton.add_word(term, (len(term), topic, weight))
         if self.rows:
             self.automaton.make_automaton()
+        self.topics = sorted({topic for _, topic, _ in self.rows})
+        # the second words of terms of several by the first ones
+        self.second: dict[str, set[str]] = {}
+        for first, second in (term.split(" ")[:2] for term, _, _ in self.rows if " " in term):
+            self.second.setdefault(first, set()).add(second)
+        self.longest = max(map(len, self.second), default=-1)
+        # (subject, weight, whether the term begins and ends its word) -> place, for ``word``
+        self.hits = {(-2, 0.0, False, False): 0, (-1, 0.0, False, False): 1}
+
+    def _hits(self, low: str):
+        """(first character, last character, subject, weight) of the terms in a lower-case text, whole words only."""
+        for end, (size, topic, w) in self.automaton.iter_long(low):
+            begin = end - size + 1
+            if (begin == 0 or not low[begin - 1].isalpha()) and (end + 1 == len(low) or not low[end + 1].isalpha()):
+                yield begin, end, topic, w
+
+    def _found(self, s: str) -> dict[str, float]:
+        """The subjects that a sentence mentions, and their weights."""
+        low = s.lower()
+        hits: list[tuple[int, str, float]] = []
+        for begin, end, topic, w in self._hits(low):
+            if hits and begin == hits[-1][0] + 2 and low[begin - 1] == " " and hits[-1][1] != topic:
+                hits.pop()
+            hits.append((end, topic, w))
+        found: dict[str, float] = {}
+        for _, topic, w in hits:
+            found[topic] = max(found.get(topic, 0.0), w)
+        return found
+
+    def word(self, word: str) -> int:
+        """Of a lower-case word, as it stands between blanks: twice the place in ``hits`` of what it mentions alone (0
+        nothing, 1 several things), and 1 where a term of several words may begin in it."""
+        if not hasattr(self, "automaton"):
+            self._build()
+        n, found = len(word), list(self._hits(word)) if self.rows else []
+        place = int(bool(found))
+        if len(found) == 1:
+            begin, end, topic, w = found[0]
+            place = self.hits.setdefault((self.topics.index(topic), w, begin == 0, end + 1 == n), len(self.hits))
+        return 2 * place + bool(self._firsts(word))
+
+    def _firsts(self, word: str) -> list[str]:
+        """The first words of terms of several that end this word."""
+        return [x for k in range(max(0, len(word) - self.longest), len(word) + 1) if (x := word[k:]) in self.second]
+
+    def _goes_on(self, word: str, after: str) -> bool:
+        """May a term of several words stand in these two?"""
+        return any(after.startswith(tuple(self.second[x])) for x in self._firsts(word))
+
+    def all_mentions(self, b: Batch, words: Attributes) -> list[tuple[dict[str, int], dict[str, float], float]]:
+        """``mentions`` of each page; ``words`` are by ``word``.  Only sentences are searched in which a term of several words
+        may stand, or a word mentions several things."""
+        if not hasattr(self, "automaton"):
+            self._build()
+        code, ends = words.over_words(b.vocab)[b.words], np.flatnonzero(b.words == 0)
+        # words are parted by one blank each, where no other character stands for one
+        search = np.array([not s.isprintable() and any(c in s for c in "\x00\t\n\r") for s in b.flat], bool)
+        at = np.flatnonzero(code[:-1] & 1)
+        pair = b.words[at] << 32 | b.words[at + 1]
+        pairs, seen = distinct(pair), b.vocab.words.seen
+        goes = np.array([self._goes_on(seen[x >> 32], seen[x & 0xFFFFFFFF]) for x in pairs.tolist()], bool)
+        search[np.searchsorted(ends, at[goes[np.searchsorted(pairs, pair)]])] = True
+        at = np.flatnonzero(code >= 2)
+        seg, code = np.searchsorted(ends, at), code[at] // 2
+        search[seg[code == 1]] = True
+        keep = ~search[seg]
+        at, seg, code = at[keep], seg[keep], code[keep]
+        topic, weight, begins, closes = (np.array(x) for x in zip(*self.hits))
+        topic, weight, begins, closes = topic[code], weight[code], begins[code], closes[code]
+        keep = np.ones(len(at), bool)  # of two that stand next to each other the later counts
+        keep[:-1] = ~((at[1:] == at[:-1] + 1) & closes[:-1] & begins[1:] & (topic[1:] != topic[:-1]))
+        more = [(i, self.topics.index(t), w) for i in np.flatnonzero(search).tolist() for t, w in self._found(b.flat[i]).items()] if self.rows else []
+        seg, topic, weight = (np.concatenate([x[keep], np.array(y, x.dtype)]) for x, y in zip((seg, topic, weight), zip(*more) if more else [()] * 3))
+        # the best term of each sentence and subject, and of each sentence
+        size = max(1, len(self.topics))
+        seg, topic, weight = _best(seg * size + topic, weight, size)
+        seg_of, _, most = _best(seg, weight, 1)
+        total = sums(most, b.seg_page[seg_of], b.n_pages).tolist()
+        key = b.seg_page[seg] * size + topic
+        which = distinct(key)
+        at = np.searchsorted(which, key)
+        count, weight = np.bincount(at, minlength=len(which)).tolist(), sums(weight, at, len(which)).tolist()
+        cut = np.searchsorted(which, np.arange(b.n_pages + 1) * size).tolist()
+        names = [self.topics[k] for k in (which % size).tolist()]
+        return [(dict(zip(names[x:y], count[x:y])), dict(zip(names[x:y], weight[x:y])), t) for x, y, t in zip(cut, cut[1:], total)]
 
     def mentions(self, parts: list[str]) -> tuple[dict[str, int], dict[str, float], float]:
         """Sentences and their weight per subject, and the weight of all sentences that mention any.
@@ -93,20 +181,7 @@ class SubjectModel:
         if not hasattr(self, "automaton"):
             self._build()
         count, weight, total = defaultdict(int), defaultdict(float), 0.0
-        if not self.rows:
-            return count, weight, total
-        for s in parts:
-            low = s.lower()
-            hits: list[tuple[int, str, float]] = []
-            for end, (size, topic, w) in self.automaton.iter_long(low):
-                begin = end - size + 1
-                if (begin == 0 or not low[begin - 1].isalpha()) and (end + 1 == len(low) or not low[end + 1].isalpha()):
-                    if hits and begin == hits[-1][0] + 2 and low[begin - 1] == " " and hits[-1][1] != topic:
-                        hits.pop()
-                    hits.append((end, topic, w))
-            found: dict[str, float] = {}
-            for _, topic, w in hits:
-                found[topic] = max(found.get(topic, 0.0), w)
+        for found in map(self._found, parts if self.rows else []):
             for topic, w in found.items():
                 count[topic] += 1
                 weight[topic] += w
@@ -124,6 +199,15 @@ class SubjectModel:
         return {t: weight[t] / total for t in count if total > 0 and over(count[t], weight[t], total, most, length, self.thresholds.get(t, self.default))}
 
 
+def _best(key: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key // size, key % size, largest weight) of each key, in order."""
+    order = np.argsort(key, kind="stable")
+    key, weight = key[order], weight[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(weight, first) if len(key) else weight
+    return key[first] // size, key[first] % size, most
+
+
 def over(count: int, weight: float, total: float, most: int, length: int, limits: tuple) -> bool:
     """Is a subject over its limits (sentences, share, density)?  Where no subject has so many sentences, the
     most that one has do."""
@@ -132,12 +216,17 @@ def over(count: int, weight: float, total: float, most: int, length: int, limits
 
 def cells(model: SubjectModel, parts: list[str], truth: set[str]) -> dict[tuple[str, int], tuple[int, int, int]]:
     """(subject, cell of the grid) -> (right, wrong, missed) of one labelled page."""
-    count, weight, total = model.mentions(parts)
+    return mention_cells(*model.mentions(parts), len(parts), truth)
+
+
+def mention_cells(count: dict[str, int], weight: dict[str, float], total: float, length: int, truth: set[str]) -> dict[tuple[str, int], tuple[int, int, int]]:
+    """``cells`` of a page with these mentions and so many segments."""
     most = max(count.values(), default=0)
     out = {}
     for t in set(count) | truth:
+        n, w = count.get(t, 0), weight.get(t, 0.0)
         for k, limits in enumerate(GRID):
-            got = count[t] > 0 and over(count[t], weight[t], total, most, len(parts), limits)
+            got = n > 0 and over(n, w, total, most, length, limits)
             if got or t in truth:
                 out[t, k] = (int(got and t in truth), int(got and t not in truth), int(not got))
     return out

@@ -141,23 +141,23 @@ class SubjectModel:
         may stand, or a word mentions several things."""
         if not hasattr(self, "automaton"):
             self._build()
-        code, ends = words.over_words(b.vocab)[b.words], np.flatnonzero(b.words == 0)
+        code = words.over_words(b.vocab)[b.words]
         # words are parted by one blank each, where no other character stands for one
         search = np.array([not s.isprintable() and any(c in s for c in "\x00\t\n\r") for s in b.flat], bool)
-        at = np.flatnonzero(code[:-1] & 1)
+        at = np.flatnonzero(((code[:-1] & 1) > 0) & (b.word_seg[1:] == b.word_seg[:-1]))
         pair = b.words[at] << 32 | b.words[at + 1]
         pairs, seen = distinct(pair), b.vocab.words.seen
         goes = np.array([self._goes_on(seen[x >> 32], seen[x & 0xFFFFFFFF]) for x in pairs.tolist()], bool)
-        search[np.searchsorted(ends, at[goes[np.searchsorted(pairs, pair)]])] = True
+        search[b.word_seg[at[goes[np.searchsorted(pairs, pair)]]]] = True
         at = np.flatnonzero(code >= 2)
-        seg, code = np.searchsorted(ends, at), code[at] // 2
+        seg, code = b.word_seg[at], code[at] // 2
         search[seg[code == 1]] = True
         keep = ~search[seg]
         at, seg, code = at[keep], seg[keep], code[keep]
         topic, weight, begins, closes = (np.array(x) for x in zip(*self.hits))
         topic, weight, begins, closes = topic[code], weight[code], begins[code], closes[code]
         keep = np.ones(len(at), bool)  # of two that stand next to each other the later counts
-        keep[:-1] = ~((at[1:] == at[:-1] + 1) & closes[:-1] & begins[1:] & (topic[1:] != topic[:-1]))
+        keep[:-1] = ~((at[1:] == at[:-1] + 1) & (seg[1:] == seg[:-1]) & closes[:-1] & begins[1:] & (topic[1:] != topic[:-1]))
         more = [(i, self.topics.index(t), w) for i in np.flatnonzero(search).tolist() for t, w in self._found(b.flat[i]).items()] if self.rows else []
         seg, topic, weight = (np.concatenate([x[keep], np.array(y, x.dtype)]) for x, y in zip((seg, topic, weight), zip(*more) if more else [()] * 3))
         # the best term of each sentence and subject, and of each sentence
